@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from siltstone.llm.common import bounded_batches, table
 
@@ -151,7 +152,7 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text") -> D
     vocabulary = spark.sparkContext.broadcast(read_vocabulary(rank_file))
     names = [c for c in df.columns if c not in ("n_tokens", "ids", "decoded")]
     df = df.select(*names)
-    schema = df.schema.add("n_tokens", "long").add("ids", "binary").add("decoded", "binary")
+    schema = StructType([*df.schema.fields]).add("n_tokens", "long").add("ids", "binary").add("decoded", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -176,7 +177,7 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text") -> D
 def decode(df: DataFrame, rank_file: str, ids: str = "ids", out: str = "text_bytes") -> DataFrame:
     """Adds ``out``: the bytes of packed ids. Null ids give no bytes; an unknown id is an error."""
     vocabulary = df.sparkSession.sparkContext.broadcast(read_vocabulary(rank_file))
-    schema = df.schema.add(out, "binary")
+    schema = StructType([*df.schema.fields]).add(out, "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = vocabulary.value.tokens.__getitem__
