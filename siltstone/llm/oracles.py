@@ -12,13 +12,14 @@ def _quality() -> str:
     r = range(len(RULES))
     rules = [
         ("n_symbols * 100 <= n_words", "n_symbols * 100 > n_words * 10"),
-        ("n_dup_lines = 0 AND n_lines >= 3", "n_dup_lines * 100 > n_lines * 30"),
+        ("n_dup_lines = 0 AND n_lines >= 3", "n_dup_lines >= 3 AND n_dup_lines * 100 > n_lines * 30"),
         ("n_repeat_words * 100 <= n_words * 5", "n_repeat_words * 100 > n_words * 30"),
         ("n_upper * 100 <= word_chars * 10", "n_upper * 100 > word_chars * 40"),
         ("word_chars >= n_words * 3 AND word_chars <= n_words * 9", "word_chars * 2 < n_words * 5 OR word_chars > n_words * 12"),
         ("n_distinct * 100 >= n_words * 40", "n_distinct * 100 < n_words * 15"),
         ("n_bang * 100 <= n_words * 2", "n_bang * 100 > n_words * 20"),
         ("n_ends * 100 >= n_words * 3", "n_ends * 100 < n_words"),
+        ("n_marks * 100 <= n_words * 2", "n_marks * 100 > n_words * 10"),
     ]
     vote = ", ".join(f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END AS v{i}" for i, (good, bad) in enumerate(rules))
     vs = ", ".join(f"v{i}" for i in r)
@@ -39,10 +40,10 @@ tw AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_
 rp AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM tw, (VALUES (0), (1), (2)) x(k) GROUP BY doc_id),
 m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars, {chars('#*$%&|<>')}::BIGINT AS n_symbols,
   coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
-  {chars('A-Z')} AS n_upper, {chars('!')} AS n_bang, {chars('.!?')} AS n_ends, len(list_distinct(ws)) AS n_distinct
+  {chars('A-Z')} AS n_upper, {chars('!')} AS n_bang, {chars('.!?')} AS n_ends, len(list_distinct(ws)) AS n_distinct, len(regexp_extract_all(t, '[#*$%&|<>]+')) AS n_marks
   FROM w LEFT JOIN ln USING (doc_id) LEFT JOIN rp USING (doc_id)),
 v AS MATERIALIZED (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {vote} FROM m),
-pt AS MATERIALIZED (SELECT {vs}, count(*)::DOUBLE AS n FROM v WHERE NOT base_failed GROUP BY ALL),
+pt AS MATERIALIZED (SELECT {vs}, count(*)::DOUBLE AS n FROM v WHERE n_words >= 50 GROUP BY ALL),
 em AS (SELECT 0 AS it, {START[0]}::DOUBLE AS pi, {first}
   UNION ALL SELECT it + 1, (sum(p * n) + 1) / (sum(n) + 2) AS pi, {fit}
   FROM (SELECT *, 1 / (1 + exp({odds})) AS p FROM em, pt WHERE it < {ROUNDS}) GROUP BY it),

@@ -1,7 +1,7 @@
 """Quality rules as weak supervision, with DataFrame functions only.
 
-Eight rules vote good (1), bad (-1) or abstain (0) on a document. Expectation
-maximisation over the histogram of vote patterns (3^8 rows at most, whatever the
+Nine rules vote good (1), bad (-1) or abstain (0) on a document. Expectation
+maximisation over the histogram of vote patterns (3^9 rows at most, whatever the
 corpus) estimates each rule's accuracy on good and on bad documents, and a
 document is kept when its posterior probability of being good is 0.5 or more.
 
@@ -20,9 +20,9 @@ from siltstone.llm.common import materialize, table
 #: Rounds of expectation maximisation; the estimates settle well before.
 ROUNDS = 30
 #: Where it starts: share of good documents, accuracy on good and on bad ones.
-START = (0.85, 0.95, 0.4)
+START = (0.85, 0.99, 0.25)
 
-RULES = ("symbols", "dup_lines", "repeats", "upper", "word_length", "distinct", "bang", "sentences")
+RULES = ("symbols", "dup_lines", "repeats", "upper", "word_length", "distinct", "bang", "sentences", "marks")
 
 _WORDS = r"filter(split({t}, '[\\x20\\x09-\\x0D]+'), w -> w <> '')"
 _GRAMS = "transform(sequence(0, size(ws) - 3), i -> concat_ws(' ', get(ws, i), get(ws, i + 1), get(ws, i + 2)))"
@@ -67,7 +67,8 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
         {_without(upper).format(t=t)} AS n_upper,
         {_without('!').format(t=t)} AS n_bang,
         {_without('.!?').format(t=t)} AS n_ends,
-        size(array_distinct(ws)) AS n_distinct)"""
+        size(array_distinct(ws)) AS n_distinct,
+        regexp_count({t}, '[#*$%&|<>]+') AS n_marks)"""
     body = body.replace("\\f", "\\u000C")
     return df.withColumn("_q", F.expr(_let(t, f"coalesce(`{text}`, '')", _let("ws", _WORDS.format(t=t), body))))
 
@@ -81,13 +82,14 @@ def votes() -> list[Column]:
     n, q = F.col("_q.n_words"), lambda name: F.col(f"_q.{name}")
     return [
         _vote(q("n_symbols") * 100 <= n, q("n_symbols") * 100 > n * 10),
-        _vote((q("lines.d") == 0) & (q("lines.n") >= 3), q("lines.d") * 100 > q("lines.n") * 30),
+        _vote((q("lines.d") == 0) & (q("lines.n") >= 3), (q("lines.d") >= 3) & (q("lines.d") * 100 > q("lines.n") * 30)),
         _vote(q("n_repeat_words") * 100 <= n * 5, q("n_repeat_words") * 100 > n * 30),
         _vote(q("n_upper") * 100 <= q("word_chars") * 10, q("n_upper") * 100 > q("word_chars") * 40),
         _vote((q("word_chars") >= n * 3) & (q("word_chars") <= n * 9), (q("word_chars") * 2 < n * 5) | (q("word_chars") > n * 12)),
         _vote(q("n_distinct") * 100 >= n * 40, q("n_distinct") * 100 < n * 15),
         _vote(q("n_bang") * 100 <= n * 2, q("n_bang") * 100 > n * 20),
         _vote(q("n_ends") * 100 >= n * 3, q("n_ends") * 100 < n),
+        _vote(q("n_marks") * 100 <= n * 2, q("n_marks") * 100 > n * 10),
     ]
 
 
@@ -124,14 +126,14 @@ def assess(df: DataFrame, text: str = "text", min_words: int = 50) -> DataFrame:
     """Adds ``n_words``, the base counts, ``base_failed``, ``quality`` (posterior, null where the base test failed) and ``kept``.
 
     The votes are made and written once (the input's columns less the text, plus
-    counts); their histogram is joined back by broadcast, as it has 3^8 rows at most.
+    counts); their histogram is joined back by broadcast, as it has 3^9 rows at most.
     """
     code = sum(((v + 1) * 3**i for i, v in enumerate(votes())), F.lit(0))
     measured = measure(df, text).withColumn("_code", code).withColumn("_votes", F.array(*votes()))
     n, rep = F.col("_q.n_words"), F.col("_q.n_repeat_words")
     failed = (n < min_words) | (rep * 100 > n * 50)
     own = materialize(measured.select(*[c for c in df.columns if c != text], F.col("_q"), "_code", "_votes", failed.alias("base_failed")), "quality")
-    patterns = own.filter("NOT base_failed").groupBy(F.col("_code").alias("code")).agg(F.first("_votes").alias("votes"), F.count("*").alias("n"))
+    patterns = own.filter(F.col("_q.n_words") >= min_words).groupBy(F.col("_code").alias("code")).agg(F.first("_votes").alias("votes"), F.count("*").alias("n"))
     good = posteriors(patterns).select(F.col("code").alias("_code"), F.col("good").alias("quality"))
     return (
         own.join(F.broadcast(good), "_code", "left")
