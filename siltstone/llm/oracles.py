@@ -84,7 +84,16 @@ SELECT d.doc_id, coalesce(q.text, '') AS text, CASE WHEN t = '' THEN 0 ELSE len(
   CASE WHEN t = '' THEN 0 ELSE len(ls) - coalesce(n, 0) END::BIGINT AS n_removed
 FROM d LEFT JOIN q USING (doc_id)"""
 
+_TOP_K = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
+
 SQL: dict[str, str] = {
+    "op4_exact_top_k": _TOP_K,
     "op2_quality_rules": _quality(),
     "op3_source_mixing": _MIXING,
     "op5_line_dedup": _LINES,

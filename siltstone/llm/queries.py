@@ -6,10 +6,12 @@ from siltstone.llm.bpe import op9
 from siltstone.llm.lines import op5
 from siltstone.llm.mixing import op3
 from siltstone.llm.quality import op2
+from siltstone.llm.topk import op4
 
 QUERIES = {
     "op2_quality_rules": op2,
     "op3_source_mixing": op3,
+    "op4_exact_top_k": op4,
     "op5_line_dedup": op5,
     "op9_byte_bpe": op9,
 }
