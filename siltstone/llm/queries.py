@@ -5,6 +5,7 @@ from __future__ import annotations
 from siltstone.llm.bpe import op9
 from siltstone.llm.lines import op5
 from siltstone.llm.mixing import op3
+from siltstone.llm.pii import op8
 from siltstone.llm.quality import op2
 from siltstone.llm.topk import op4
 
@@ -13,5 +14,6 @@ QUERIES = {
     "op3_source_mixing": op3,
     "op4_exact_top_k": op4,
     "op5_line_dedup": op5,
+    "op8_personal_data": op8,
     "op9_byte_bpe": op9,
 }
