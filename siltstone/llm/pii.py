@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 from siltstone.llm.common import bounded_batches, table
 
@@ -380,7 +380,7 @@ def find_personal_data(df: DataFrame, labelled: DataFrame, text: str = "text") -
     field = df.sparkSession.sparkContext.broadcast(_trained(tuple((tuple(w), tuple(t)) for w, t in rows)))
     names = [c for c in df.columns if c not in ("base_spans", "all_spans")]
     df = df.select(*names)
-    span = "array<struct<kind: string, start: int, end: int>>"
+    span = ArrayType(StructType().add("kind", "string").add("start", "int").add("end", "int"))
     schema = StructType([*df.schema.fields]).add("base_spans", span).add("all_spans", span)
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
