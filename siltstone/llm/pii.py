@@ -361,7 +361,7 @@ def field_spans(text: str, hits: list[tuple[int, int]], base: list[tuple[int, in
             spans.append([places[p][0], t - 1, places[p][1], p])
     out = []
     for start, kind, end, _ in spans:
-        while end > start and text[end - 1] in ".,;:!?\"')]}>":
+        while end > start and text[end - 1] in ".,;:!?#$%&*\"')]}>":
             end -= 1
         while end > start and text[start] in "\"'([{<":
             start += 1
@@ -380,7 +380,7 @@ def find_personal_data(df: DataFrame, labelled: DataFrame, text: str = "text") -
     field = df.sparkSession.sparkContext.broadcast(_trained(tuple((tuple(w), tuple(t)) for w, t in rows)))
     names = [c for c in df.columns if c not in ("base_spans", "all_spans")]
     df = df.select(*names)
-    span = ArrayType(StructType().add("kind", "string").add("start", "int").add("end", "int"))
+    span = ArrayType(StructType().add("kind", "string").add("start", "integer").add("end", "integer"))
     schema = StructType([*df.schema.fields]).add("base_spans", span).add("all_spans", span)
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
