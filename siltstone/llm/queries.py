@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from siltstone.llm.bpe import op9
+from siltstone.llm.jaccard import op1
 from siltstone.llm.lines import op5
 from siltstone.llm.mixing import op3
 from siltstone.llm.pii import op8
@@ -10,6 +11,7 @@ from siltstone.llm.quality import op2
 from siltstone.llm.topk import op4
 
 QUERIES = {
+    "op1_ngram_jaccard": op1,
     "op2_quality_rules": op2,
     "op3_source_mixing": op3,
     "op4_exact_top_k": op4,
