@@ -8,6 +8,7 @@ from siltstone.llm.lines import op5
 from siltstone.llm.mixing import op3
 from siltstone.llm.pii import op8
 from siltstone.llm.quality import op2
+from siltstone.llm.substrings import op10
 from siltstone.llm.topk import op4
 
 QUERIES = {
@@ -18,4 +19,5 @@ QUERIES = {
     "op5_line_dedup": op5,
     "op8_personal_data": op8,
     "op9_byte_bpe": op9,
+    "op10_suffix_dedup": op10,
 }
