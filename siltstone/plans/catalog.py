@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from siltstone.plans import kv_queries
+
+QUERIES: dict = kv_queries.QUERIES
+ORACLE_SQL: dict[str, str] = kv_queries.SQL
