@@ -145,7 +145,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, size: int = SEARCH
     shards = index.select("shard").distinct()
     blocks = max(1, -(-queries.count() // per_block))
     asked = queries.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.col("id").alias("qid"), F.col("v").cast("array<float>").alias("qv"))
-    asked = asked.join(F.broadcast(shards))
+    asked = asked.join(F.broadcast(shards)).toDF("for_block", "qid", "qv", "for_shard")
     fan = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("block", F.col("block").cast("long"))
 
     def run(own: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
@@ -176,7 +176,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, size: int = SEARCH
                 out += [(qid, int(ids[i]), d) for d, i in beam(x, links, steer, q, starts, k, size, width, probes)]
         return pd.DataFrame(out, columns=["qid", "id", "dist"]).astype({"qid": "int64", "id": "int64", "dist": "float64"})
 
-    found = fan.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(run, "qid long, id long, dist double")
+    found = fan.groupBy("shard", "block").cogroup(asked.groupBy("for_shard", "for_block")).applyInPandas(run, "qid long, id long, dist double")
     best = Window.partitionBy("qid").orderBy("dist", "id")
     return found.dropDuplicates(["qid", "id"]).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("qid", "rank", "id", "dist")
 

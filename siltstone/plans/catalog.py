@@ -1,8 +1,9 @@
-"""Registered queries over the key-value and vector operators, with their SQL."""
+"""Registered queries over the key-value, cache, vector and workload operators, with their SQL."""
 
 from __future__ import annotations
 
-from siltstone.plans import kv_queries
+from siltstone.plans import cache_queries, kv_queries, other_queries, vector_queries
 
-QUERIES: dict = kv_queries.QUERIES
-ORACLE_SQL: dict[str, str] = kv_queries.SQL
+_MODULES = (vector_queries, kv_queries, cache_queries, other_queries)
+QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {k: v for m in _MODULES for k, v in m.SQL.items()}

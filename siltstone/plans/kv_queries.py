@@ -13,7 +13,7 @@ from siltstone.sources.tables import change_log, table
 #: SQL of the change log; see ``change_log``.
 LOG = """chg AS (SELECT 'user' || lpad(user_id::VARCHAR, 20, '0') AS key, user_id, event_id // 64 AS batch_id, event_id % 64 AS pos, event_id // 64 + 1 AS lsn,
   (event_id // 64 + 1) // 16 AS gen, user_id % 4 AS front, event_id AS seq, CASE WHEN event_type = 'error' THEN 'DEL' ELSE 'PUT' END AS op,
-  CASE WHEN event_type <> 'error' THEN event_type || ':' || props END AS value, epoch_ms(ts) AS ts_ms, event_type FROM events),
+  CASE WHEN event_type <> 'error' THEN event_type || ':' || props END AS value, epoch_us(ts) // 1000 AS ts_ms, event_type FROM events),
 half AS (SELECT max(lsn) // 2 AS h FROM chg)"""
 WON = "row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS nth"
 
