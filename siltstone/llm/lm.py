@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import WordHash, mix64, shuffle_parts, table, word_hashes, words_of
+from siltstone.llm.runs import pack, part_of, unpack
 
 BACKOFF = 0.4
 #: Bytes of text in a chunk, and n-grams in a partition of the count table, about.
@@ -36,23 +37,6 @@ CHUNK, PARTITION = 16 << 20, 3_000_000
 ALL = np.uint64(0)
 
 
-def _pack(x: np.ndarray) -> bytes:
-    """Bytes of integers by significance, compressed."""
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()) if len(x) else b""
-
-
-def _unpack(data: bytes, kind: type) -> np.ndarray:
-    import zstandard
-
-    if not data:
-        return np.zeros(0, kind)
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(raw.reshape(width, -1).T).view(kind).ravel()
-
-
 class Grams:
     """N-gram keys of a chunk's texts: ``keys[k]`` is the key of the (k+1)-gram that ends at each word (0 where none does)."""
 
@@ -79,10 +63,6 @@ class Grams:
         return keys, index[1:], counts
 
 
-def _part(keys: np.ndarray, parts: int) -> np.ndarray:
-    return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-
-
 def score(df: DataFrame, doc: str = "doc_id", text: str = "text", order: int = 2) -> DataFrame:
     """(doc_id, n_words, log10_score): the sum of the words' scores, leaving the document itself out of the counts."""
     size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
@@ -93,26 +73,26 @@ def score(df: DataFrame, doc: str = "doc_id", text: str = "text", order: int = 2
 
     def count(t: pa.Table) -> pa.Table:
         keys, _, counts = Grams(t.column("text").to_pylist(), order).unique()
-        part = _part(keys, parts)
+        part = part_of(keys, parts)
         cut = np.flatnonzero(np.diff(part)) + 1
-        out = [(int(part[a]), _pack(np.diff(keys[a:b], prepend=ALL)), _pack(counts[a:b].astype(np.uint32))) for a, b in zip([0, *cut], [*cut, len(keys)], strict=True)]
+        out = [(int(part[a]), pack(np.diff(keys[a:b], prepend=ALL)), pack(counts[a:b].astype(np.uint32))) for a, b in zip([0, *cut], [*cut, len(keys)], strict=True)]
         chunk = t.column("chunk")[0].as_py()
         return pa.table({"part": pa.array([p for p, _, _ in out], pa.int64()), "chunk": pa.array([chunk] * len(out), pa.int64()), "keys": pa.array([k for _, k, _ in out], pa.binary()), "counts": pa.array([c for _, _, c in out], pa.binary())})
 
     def total(t: pa.Table) -> pa.Table:
-        keys = [np.cumsum(_unpack(k.as_py(), np.uint64), dtype=np.uint64) for k in t.column("keys")]
-        counts = np.concatenate([_unpack(c.as_py(), np.uint32) for c in t.column("counts")]).astype(np.int64)
+        keys = [np.cumsum(unpack(k.as_py(), np.uint64), dtype=np.uint64) for k in t.column("keys")]
+        counts = np.concatenate([unpack(c.as_py(), np.uint32) for c in t.column("counts")]).astype(np.int64)
         _, index = np.unique(np.concatenate(keys), return_inverse=True)
         sums = np.zeros(index.max() + 1, np.int64)
         np.add.at(sums, index, counts)
         own = np.split(sums[index], np.cumsum([len(k) for k in keys])[:-1])
-        return pa.table({"chunk": t.column("chunk"), "part": t.column("part"), "counts": pa.array([_pack(x) for x in own], pa.binary())})
+        return pa.table({"chunk": t.column("chunk"), "part": t.column("part"), "counts": pa.array([pack(x) for x in own], pa.binary())})
 
     def rate(t: pa.Table, answers: pa.Table) -> pa.Table:
         g = Grams(t.column("text").to_pylist(), order)
         keys, index, _ = g.unique()
         answers = answers.sort_by("part")
-        counts = np.concatenate([_unpack(c.as_py(), np.int64) for c in answers.column("counts")])
+        counts = np.concatenate([unpack(c.as_py(), np.int64) for c in answers.column("counts")])
         assert len(counts) == len(keys)
         n, rest = len(g.text), counts[0] - g.sizes  # words in the other documents
         # how often each place's n-gram is in its own document

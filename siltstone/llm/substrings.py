@@ -35,15 +35,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import bounded_batches, materialize, mix64, table
-from siltstone.llm.runs import MEMBER, SCHEMA, led, shared
+from siltstone.llm.runs import SCHEMA, led, parts_for, shared
 
 #: Bytes of a trigger; one place in ``EVERY`` is one.
 WINDOW, EVERY = 12, 48
+#: Added to the places of free strings, which are no triggers.
+FREE = 1 << 40
 #: Odd multipliers of the two hashes and the seeds of their byte values.
 _BASES = ((0x9E3779B97F4A7C15 | 1, 17), (0xC2B2AE3D27D4EB4F | 1, 29))
-_MASK = (1 << 64) - 1
-#: Marks a row of ``runs.RUN_SCHEMA`` that stands for all places from place to lead_place.
-STRETCH = -1
 
 
 @lru_cache(maxsize=2)
@@ -120,30 +119,11 @@ class Parse:
 
 def _rows(parts: list[tuple[np.ndarray, np.ndarray, int, np.ndarray]]) -> list[np.ndarray]:
     key, check, ident, place = ([p[i] for p in parts] for i in range(4))
-    return [np.concatenate(key).view(np.int64), np.concatenate(check).view(np.int64), np.repeat(np.array(ident, np.int64), [len(x) for x in place]), np.concatenate(place).astype(np.int64)]
-
-
-def _stretches(key: np.ndarray, check: np.ndarray, ident: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Of rows of one batch: which to send on, and (id, from, to) of the rest, whose key one sent on has."""
-    order = np.lexsort((place, ident, check, key))
-    k, c = key[order], check[order]
-    again = np.zeros(len(k), bool)
-    again[1:] = (k[1:] == k[:-1]) & (c[1:] == c[:-1])
-    lead = np.zeros(len(k), bool)
-    lead[:-1] = again[1:] & ~again[:-1]
-    sent = np.zeros(len(k), np.int8)
-    sent[order] = np.where(again, 0, np.where(lead, 2, 1))
-    rest = np.flatnonzero(sent == 0)
-    rest = rest[np.lexsort((place[rest], ident[rest]))]
-    i, p = ident[rest], place[rest]
-    cut = np.flatnonzero((np.diff(i) != 0) | (np.diff(p) != 1)) + 1
-    first, last = np.concatenate([[0], cut]).astype(int), np.append(cut, len(p)).astype(int) - 1
-    return sent, ([i[first], p[first], p[last]] if len(p) else [i, p, p])
-
-
-def _first_sort(docs: DataFrame, length: int) -> DataFrame:
-    """Rows of anchors (place = 2 * trigger) and free strings (place = 2 * start + 1)."""
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
+    return [np.concatenate(key), np.concatenate(check), np.repeat(np.array(ident, np.int64), [len(x) for x in place]), np.concatenate(place).astype(np.int64)]
+
+
+def _first_sort(docs: DataFrame, length: int, parts: int) -> DataFrame:
+    """Rows of anchors (place = trigger) and free strings (place = FREE + start)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded_batches(batches, "text", 8 << 20):
@@ -152,41 +132,34 @@ def _first_sort(docs: DataFrame, length: int) -> DataFrame:
                 p = Parse(text.as_py().encode("utf-8", "surrogatepass"), length)
                 t = p.triggers[p.groups()]
                 if len(t):
-                    anchors.append((*p.hashes(t, t + p.inner, 1), ident, t * 2))
+                    anchors.append((*p.hashes(t, t + p.inner, 1), ident, t))
                 f = p.free()
                 if len(f):
-                    free.append((*p.hashes(f, f + length, 2), ident, f))
+                    free.append((*p.hashes(f, f + length, 2), ident, f + FREE))
             if anchors:
-                yield led(*_rows(anchors))
+                yield led(*_rows(anchors), parts)
             if free:
-                key, check, ident, place = _rows(free)
-                sent, (i, a, b) = _stretches(key, check, ident, place)
-                own = sent > 0
-                place = place * 2 + 1
-                cols = [key[own], check[own], ident[own], place[own], ident[own], place[own], np.where(sent[own] == 2, 1, 0).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=names)
-                cols = [mix64(a.astype(np.uint64)).view(np.int64), np.full(len(i), STRETCH), i, a * 2 + 1, i, b * 2 + 1, np.full(len(i), MEMBER, np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=names)
+                yield led(*_rows(free), parts, stretch=True)
 
     return docs.mapInArrow(run, SCHEMA)
 
 
-def _strings_of(docs: DataFrame, length: int, whole: bool) -> DataFrame:
+def _strings_of(docs: DataFrame, length: int, parts: int, whole: bool) -> DataFrame:
     """Rows of the groups whose triggers are in ``at``: one a group (sort 2) or one a string (sort 3)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded_batches(batches, "text", 8 << 20):
-            parts = []
+            rows = []
             for ident, text, at in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 p = Parse(text.as_py().encode("utf-8", "surrogatepass"), length)
                 g = np.searchsorted(p.triggers, np.unique(at.values.to_numpy(zero_copy_only=False)))
                 if whole:
-                    parts.append((*p.hashes(p.low[g], p.high[g] + length, 3), ident, p.triggers[g]))
+                    rows.append((*p.hashes(p.low[g], p.high[g] + length, 3), ident, p.triggers[g]))
                 else:
                     s = p.strings(g)
-                    parts.append((*p.hashes(s, s + length, 4), ident, s))
-            if parts:
-                yield led(*_rows(parts))
+                    rows.append((*p.hashes(s, s + length, 4), ident, s))
+            if rows:
+                yield led(*_rows(rows), parts)
 
     return docs.mapInArrow(run, SCHEMA)
 
@@ -229,15 +202,16 @@ def remove_repeats(df: DataFrame, doc: str = "doc_id", text: str = "text", lengt
     """
     every = df.select(F.col(doc).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     docs = every.filter(F.col("id").isNotNull())
-    first = shared(_first_sort(docs, length))
-    first = materialize(first.select("key", "check", "id", "place", "lead_place"), "parse")
-    anchors = first.filter("place % 2 = 0 AND check <> -1").select("key", "id", F.expr("place DIV 2").alias("at")).distinct()
-    free = first.filter("place % 2 = 1").select("id", F.expr("place DIV 2").alias("a"), F.expr(f"IF(check = {STRETCH}, lead_place DIV 2, place DIV 2)").alias("b"))
+    size = every.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = parts_for(size / 40 * 400 / length)
+    first = materialize(shared(_first_sort(docs, length, parts)).select("key", "id", "place", "until"), "parse")
+    anchors = first.filter(F.col("place") < FREE).select("key", "id", F.col("place").alias("at")).distinct()
+    free = first.filter(F.col("place") >= FREE).select("id", (F.col("place") - FREE).alias("a"), (F.col("until") - FREE).alias("b"))
 
-    listed = first.groupBy("id").agg(F.sort_array(F.collect_set(F.when((F.col("place") % 2 == 0), F.expr("place DIV 2")))).alias("at"))
+    listed = first.groupBy("id").agg(F.sort_array(F.collect_set(F.when(F.col("place") < FREE, F.col("place")))).alias("at"))
     texts = materialize(docs.join(listed.withColumnRenamed("id", "want"), F.col("id") == F.col("want")).dropDuplicates(["id"]).select("id", "text", "at"), "texts")
 
-    second = shared(_strings_of(texts.filter("size(at) > 0"), length, True))
+    second = shared(_strings_of(texts.filter("size(at) > 0"), length, parts, True))
     second = materialize(second.select("id", F.col("place").alias("at"), F.expr("id = lead_id AND place = lead_place").alias("leads")).distinct(), "groups")
     state = anchors.join(second, ["id", "at"], "left").select("key", "id", "at", "leads").filter("leads IS NULL OR leads")
     state = materialize(state, "anchors")
@@ -246,7 +220,7 @@ def remove_repeats(df: DataFrame, doc: str = "doc_id", text: str = "text", lengt
     partners = state.filter("leads").join(asked, F.col("key") == F.col("asked"), "left_semi")
     single = unsure.select("id", "at").unionByName(partners.select("id", "at"))
     single = single.groupBy("id").agg(F.collect_set("at").alias("at")).withColumnRenamed("id", "want")
-    third = shared(_strings_of(texts.drop("at").join(single, F.col("id") == F.col("want")).select("id", "text", "at"), length, False))
+    third = shared(_strings_of(texts.drop("at").join(single, F.col("id") == F.col("want")).select("id", "text", "at"), length, parts, False))
     starts = free.unionByName(third.select("id", F.col("place").alias("a"), F.col("place").alias("b")))
 
     groups = second.groupBy("id").agg(F.collect_set("at").alias("groups")).withColumnRenamed("id", "group_id")
