@@ -32,7 +32,7 @@ from siltstone.llm.runs import pack, part_of, unpack
 
 BACKOFF = 0.4
 #: Bytes of text in a chunk, and n-grams in a partition of the count table, about.
-CHUNK, PARTITION = 16 << 20, 3_000_000
+CHUNK, PARTITION = 6 << 20, 1_000_000
 #: The key that counts all words.
 ALL = np.uint64(0)
 

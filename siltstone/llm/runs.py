@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 
 #: Rows of one key in a batch from which they are led.
 HOT = 3
-PART_ROWS = 1_500_000
+PART_ROWS = 500_000
 
 SCHEMA = "part long, data binary"
 #: What a run hands on; the lead is the run's first row, or the batch's for its members.
