@@ -88,15 +88,16 @@ def thresholds(docs: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def mix(df: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: tuple[int, int] = (3, 2), most: int = 2) -> DataFrame:
-    """Adds ``size`` (words), ``source_size``, ``target`` (the source's) and ``taken`` (words taken, repeats counted)."""
+    """Adds ``size`` (words), ``source_size``, ``target`` (the source's), ``times`` (takings of the document) and ``taken`` (words taken, repeats counted)."""
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    own = [c for c in df.columns if c not in ("size", "source_size", "target", "taken")]
+    own = [c for c in df.columns if c not in ("size", "source_size", "target", "times", "taken")]
     docs = df.select(*own, F.col(source).alias("_source"), size.alias("_size"), hash60(doc).alias("_hash"))
     narrow = materialize(docs.select("_source", "_size", "_hash"), "sizes")
     sources = materialize(targets(narrow, weights, share, most), "targets")
     state = thresholds(narrow, sources)
+    times = F.col("_rounds") + (F.col("_hash") < F.col("_below")).cast("long")
     return docs.join(state, F.col("_source").eqNullSafe(F.col("_t"))).select(
-        *own, F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * (F.col("_rounds") + (F.col("_hash") < F.col("_below")).cast("long"))).alias("taken")
+        *own, F.col("_size").alias("size"), "source_size", "target", times.alias("times"), (F.col("_size") * times).alias("taken")
     )
 
 

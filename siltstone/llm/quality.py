@@ -24,6 +24,9 @@ START = (0.85, 0.99, 0.25)
 
 RULES = ("symbols", "dup_lines", "repeats", "upper", "word_length", "distinct", "bang", "sentences", "marks")
 
+#: Columns that ``assess`` adds.
+ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "quality", "kept")
+
 _WORDS = r"filter(split({t}, '[\\x20\\x09-\\x0D]+'), w -> w <> '')"
 _GRAMS = "transform(sequence(0, size(ws) - 3), i -> concat_ws(' ', get(ws, i), get(ws, i + 1), get(ws, i + 2)))"
 _HASHES = "transform(sequence(0, size(ws) - 3), i -> xxhash64(get(ws, i), get(ws, i + 1), get(ws, i + 2)))"
@@ -122,17 +125,19 @@ def posteriors(patterns: DataFrame) -> DataFrame:
     return fitted.selectExpr("explode(transform(xs, x -> struct(x.code AS code, " + post + " AS good))) AS g").select("g.code", "g.good")
 
 
-def assess(df: DataFrame, text: str = "text", min_words: int = 50) -> DataFrame:
+def assess(df: DataFrame, text: str = "text", min_words: int = 50, carry_text: bool = False) -> DataFrame:
     """Adds ``n_words``, the base counts, ``base_failed``, ``quality`` (posterior, null where the base test failed) and ``kept``.
 
-    The votes are made and written once (the input's columns less the text, plus
-    counts); their histogram is joined back by broadcast, as it has 3^9 rows at most.
+    The votes are made and written once, with the input's columns, of which the text
+    is left out unless ``carry_text``; columns of the added names are replaced. The
+    histogram is joined back by broadcast, as it has 3^9 rows at most.
     """
+    names = [c for c in df.columns if c not in ADDED and (carry_text or c != text)]
     code = sum(((v + 1) * 3**i for i, v in enumerate(votes())), F.lit(0))
     measured = measure(df, text).withColumn("_code", code).withColumn("_votes", F.array(*votes()))
     n, rep = F.col("_q.n_words"), F.col("_q.n_repeat_words")
     failed = (n < min_words) | (rep * 100 > n * 50)
-    own = materialize(measured.select(*[c for c in df.columns if c != text], F.col("_q"), "_code", "_votes", failed.alias("base_failed")), "quality")
+    own = materialize(measured.select(*names, F.col("_q"), "_code", "_votes", failed.alias("base_failed")), "quality")
     patterns = own.filter(F.col("_q.n_words") >= min_words).groupBy(F.col("_code").alias("code")).agg(F.first("_votes").alias("votes"), F.count("*").alias("n"))
     good = posteriors(patterns).select(F.col("code").alias("_code"), F.col("good").alias("quality"))
     return (
@@ -140,7 +145,7 @@ def assess(df: DataFrame, text: str = "text", min_words: int = 50) -> DataFrame:
         .withColumn("quality", F.when(~F.col("base_failed"), F.col("quality")))
         .withColumn("kept", F.coalesce(F.col("quality") >= 0.5, F.lit(False)))
         .select(
-            *[c for c in df.columns if c != text],
+            *names,
             F.col("_q.n_words").alias("n_words"), F.col("_q.word_chars").alias("word_chars"), F.col("_q.n_symbols").alias("n_symbols"),
             F.col("_q.lines.d").cast("long").alias("n_dup_lines"), F.col("_q.n_repeat_words").alias("n_repeat_words"), "base_failed", "quality", "kept",
         )
