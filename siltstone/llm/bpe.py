@@ -66,7 +66,8 @@ class PerfectHash:
                 free[s], self.keys[s], self.values[s] = False, keys[i], values[i]
 
     def _slot(self, h: int, d: int) -> int:
-        return ((h >> 17) + d * ((h >> 40) | 1)) % self.n
+        x = (h ^ (d * 0x9E3779B97F4A7C15)) & 0xFFFFFFFFFFFFFFFF
+        return (((x ^ (x >> 29)) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF) >> 32) % self.n
 
     def get(self, key: bytes) -> int:
         """The key's value, or -1."""

@@ -9,10 +9,11 @@ cost: deletions bring a row a shingle, single units bring chance agreements of
 near-empty segments, the more the more sets the band has.
 
 Sets that share a segment key are tested against the first of them, and every
-link found joins components. A key whose sets still lie in several components
-goes on: each round takes up to ``LEADS`` more of its sets and tests them against
-all of its sets in other components, until no untested pair is left. A pair is
-therefore left out only where its two sets are already in one component.
+link found joins components. Keys whose sets still lie in several components go
+on: the untested pairs of a key of ``FEW`` sets or less are tested one by one, and
+the sets of larger keys are compared block by block within tasks that return only
+links which join something. A pair is therefore left out only where its two sets
+are already in one component.
 
 Defined results: a text without words has no shingles and is linked with nothing;
 one with fewer words than a shingle is one shingle; a null text counts as empty; a
@@ -28,46 +29,77 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import WordHash, bounded_batches, materialize, mix64, shingle_hashes, shuffle_parts, table, word_hashes, words_of
 from siltstone.llm.components import components
-from siltstone.llm.runs import SCHEMA, led, shared
+from siltstone.llm.runs import SCHEMA, led, parts_for, shared
 
 #: Ratio of a size band's ends.
 BAND = 1.25
-#: Sets of one key that a later round tests against the rest.
+#: Pairs of one leader that are tested in one task.
 LEADS = 32
+#: Sets of a key up to which its pairs are listed; sets in a block of larger keys' families; shingles in a slab.
+FEW, BLOCK, SLAB = 33, 192, 8192
+#: Sets of a batch that make a shingle common, and the most common shingles that are told apart.
+COMMON, MOST_COMMON = 4, 300_000
 #: Cost of a chance pair, in index rows.
-PAIR_COST = 8.0
+PAIR_COST = 300.0
+
+
+def _tail(mean: float, above: int) -> float:
+    """Probability that a Poisson count is larger than ``above``; by the normal law for large means."""
+    if mean > 100:
+        return math.erfc((above + 0.5 - mean) / math.sqrt(2 * mean)) / 2
+    term = total = math.exp(-mean)
+    for i in range(1, above + 1):
+        term *= mean / i
+        total += term
+    return max(0.0, 1 - total)
 
 
 class Bands:
-    """Size bands with their units; ``double[j]`` of band j's segments are of two units."""
+    """Size bands; band j has ``units[j]`` units, ``spare[j]`` of them more than must differ.
+
+    A pair agrees in segments of more than ``spare`` units, so a set whose empty
+    keys lie in segments of ``spare`` units at most needs none of them. ``double``
+    segments are of two units. Spare units and double segments are set by cost.
+    """
 
-    def __init__(self, num: int, den: int, counts: dict[int, int], share: float | None = None):
+    def __init__(self, num: int, den: int, counts: dict[int, int], share: float | None = None, common: np.ndarray | None = None):
         self.num, self.den = num, den
+        self.common = np.zeros(0, np.uint64) if common is None else np.sort(common)
         self.low = [1]
         while self.low[-1] < 1 << 31:
             self.low.append(max(self.low[-1] + 1, int(self.low[-1] * BAND)))
         top = [x - 1 for x in self.low[1:]]
-        self.units = [2 * u * (den - num) // (den + num) + 1 for u in top]
-        self.double = [self._allocate(j, counts.get(j, 0) + counts.get(j - 1, 0), share) for j in range(len(top))]
-
-    def _allocate(self, j: int, sets: int, share: float | None) -> int:
-        """The number of two-unit segments that costs least for so many sets."""
-        units, size = self.units[j], self.low[j]
-        if share is not None:
-            return int(units // 2 * share)
-        one, two = size / units, 2 * size / units
-        empty = math.exp(-2 * one)
-        near = math.exp(-2 * two) * (1 + 2 * two)
-
-        def cost(d: int) -> float:
-            return (units - 2 * d) + d * (1 + two) + PAIR_COST * sets / 2 * ((units - 2 * d) * empty + d * near)
-
-        return min(sorted({0, units // 8, units // 4, units // 2}), key=cost)
+        self.units, self.spare, self.double = [], [], []
+        for j, u in enumerate(top):
+            needed = 2 * u * (den - num) // (den + num) + 1
+            sets = counts.get(j, 0) + counts.get(j - 1, 0)
+            spare, double = self._allocate(needed, self.low[j], sets) if sets else (0, 0)
+            if share is not None:
+                double = int((needed + spare) // 2 * share)
+            self.units.append(needed + spare)
+            self.spare.append(spare)
+            self.double.append(double)
+
+    def _allocate(self, needed: int, size: int, sets: int) -> tuple[int, int]:
+        """The spare units and double segments that cost least: index rows, and chance pairs by empty keys."""
+
+        def cost(choice: tuple[int, int]) -> float:
+            spare, d = choice
+            units = needed + spare
+            one = size / units
+            empty = (units - 2 * d) * math.exp(-one) + 2 * d * math.exp(-2 * one) * (1 + 2 * one)
+            pairs = sets / 2 * _tail(empty, spare) ** 2 * empty * math.exp(-one)
+            return units - 2 * d + d * (1 + 2 * one) + PAIR_COST * pairs
+
+        mean = needed * math.exp(-size / needed)
+        spares = sorted({0, 1, 2, 3, *(math.ceil(mean + k * math.sqrt(mean)) for k in (1, 2, 4, 6))})
+        return min(((z, d) for z in spares for d in sorted({0, (needed + z) // 4, (needed + z) // 2})), key=cost)
 
     def of(self, size: int) -> list[int]:
         """The bands in which a set of this size meets sets of its own or a larger band."""
@@ -79,68 +111,100 @@ class Bands:
         return out
 
     def keys(self, tokens: np.ndarray) -> np.ndarray:
-        """Segment keys of a set of 64-bit shingle hashes, for all its bands."""
+        """Segment keys of a set of 64-bit shingle hashes, for all its bands.
+
+        Keys are of the shingles that are not common: sets differ in no more of
+        those than of all. A set that more empty keys are left to than it can spare
+        gives keys of all its shingles too; where both sets of a pair do, these meet.
+        """
+        at = np.searchsorted(self.common, tokens)
+        rare = tokens[self.common[np.minimum(at, len(self.common) - 1)] != tokens] if len(self.common) else tokens
         out = []
         for j in self.of(len(tokens)):
-            units, d = self.units[j], self.double[j]
-            unit = ((tokens >> np.uint64(11)) % np.uint64(units)).astype(np.int64)
-            seg = np.where(unit < 2 * d, unit >> 1, unit - d) if d else unit
-            order = np.argsort(seg, kind="stable")
-            value, seg = tokens[order], seg[order]
-            total = np.zeros(len(value) + 1, np.uint64)
-            np.cumsum(value, out=total[1:])
-            edge = np.searchsorted(seg, np.arange(units - d + 1))
-            sums = total[edge[1:]] - total[edge[:-1]]
-            tag = mix64((np.arange(units - d, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95) + np.uint64(j))
-            out.append(mix64(sums + tag))
-            if d:
-                few = int(edge[d])
-                own = seg[:few]
-                out.append(mix64(sums[own] - value[:few] + tag[own]))
+            enough = self._band_keys(j, rare, 0, out)
+            if not enough:
+                self._band_keys(j, tokens, 1, out)
         return np.concatenate(out)
 
+    def _band_keys(self, j: int, tokens: np.ndarray, salt: int, out: list[np.ndarray]) -> bool:
+        """Adds the keys to ``out``: those of no shingle only to the second kind, and only if needed. Whether none was."""
+        units, d = self.units[j], self.double[j]
+        unit = ((tokens >> np.uint64(11)) % np.uint64(units)).astype(np.int64)
+        seg = np.where(unit < 2 * d, unit >> 1, unit - d) if d else unit
+        order = np.argsort(seg, kind="stable")
+        value, seg = tokens[order], seg[order]
+        total = np.zeros(len(value) + 1, np.uint64)
+        np.cumsum(value, out=total[1:])
+        edge = np.searchsorted(seg, np.arange(units - d + 1))
+        sums = total[edge[1:]] - total[edge[:-1]]
+        held = np.diff(edge)
+        tag = mix64((np.arange(units - d, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95) + np.uint64(2 * j + salt))
+        bare = held == 0
+        lonely = held[:d] == 1
+        enough = bare[d:].sum() + 2 * bare[:d].sum() + 2 * lonely.sum() <= self.spare[j]
+        skip = enough or not salt
+        out.append(mix64((sums + tag)[~bare] if skip else sums + tag))
+        if d:
+            few = int(edge[d])
+            own = seg[:few]
+            keep = ~lonely[own] if skip else slice(None)
+            out.append(mix64((sums[own] - value[:few] + tag[own])[keep]))
+        return bool(enough)
+
 
 def shingle_set(text: str | None, k: int, seen: WordHash) -> np.ndarray:
     return np.unique(shingle_hashes(word_hashes(words_of(text), seen), k))
 
 
 def _sizes(docs: DataFrame, k: int) -> DataFrame:
+    """(id, n, gram): a document's set size, or, with ``gram``, the n sets of a batch that hold a common shingle."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = WordHash()
         for batch in bounded_batches(batches, "text", 8 << 20):
-            n = [len(shingle_set(x.as_py(), k, seen)) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["id", "n"])
+            sizes, sets = [], {}
+            for text in batch.column(1):
+                own = shingle_set(text.as_py(), k, seen)
+                sizes.append(len(own))
+                sets.setdefault(xxhash.xxh3_128_digest(own), own)
+            none = pa.nulls(len(sizes), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), none], names=["id", "n", "gram"])
+            gram, n = np.unique(np.concatenate(list(sets.values())), return_counts=True)
+            gram, n = gram[n >= COMMON], n[n >= COMMON]
+            if len(gram):
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(gram), pa.int64()), pa.array(n), pa.array(gram.view(np.int64))], names=["id", "n", "gram"])
+
+    return docs.mapInArrow(run, "id long, n long, gram long")
 
-    return docs.mapInArrow(run, "id long, n long")
 
+#: The place of a row that stands for a whole set, equal to its lead's.
+COPY = 1
 
-def _index(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
-    """Rows of ``runs.SCHEMA``: key, and as check 0 for a segment, 1 for a whole set equal to the lead's."""
+
+def _index(docs: DataFrame, k: int, bands: Bands, parts: int) -> DataFrame:
+    """Blobs of ``runs``: segment keys at place 0, and sets equal to one of their batch at place ``COPY``."""
     shared_bands = docs.sparkSession.sparkContext.broadcast(bands)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = WordHash()
         for batch in bounded_batches(batches, "text", 8 << 20):
             first: dict[bytes, int] = {}
-            keys, ids, copies = [], [], []
+            keys, ids, whole = [], [], []
             for ident, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 own = shingle_set(text.as_py(), k, seen)
                 if not len(own):
                     continue
-                lead = first.setdefault(own.tobytes(), ident)
-                if lead != ident:
-                    copies.append((ident, lead))
-                    continue
-                got = np.unique(shared_bands.value.keys(own))
-                keys.append(got)
-                ids.append(np.full(len(got), ident, np.int64))
+                digest = xxhash.xxh3_128_digest(own)
+                if first.setdefault(digest, ident) == ident:
+                    got = np.unique(shared_bands.value.keys(own))
+                    keys.append(got)
+                    ids.append(np.full(len(got), ident, np.int64))
+                whole.append((*np.frombuffer(digest, np.uint64), ident))
             if keys:
                 key = np.concatenate(keys)
-                yield led(key, np.zeros(len(key), np.int64), np.concatenate(ids), np.zeros(len(key), np.int64))
-            if copies:
-                ident, lead = (np.array(x, np.int64) for x in zip(*copies, strict=True))
-                zero, two = np.zeros(len(ident), np.int64), np.full(len(ident), 2, np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (mix64(ident.view(np.uint64)).view(np.int64), zero + 1, ident, zero, lead, zero, two)], names=[x.split()[0] for x in SCHEMA.split(", ")])
+                yield led(key, key, np.concatenate(ids), np.zeros(len(key), np.int64), parts)
+                key, check, ident = (np.array(x) for x in zip(*whole, strict=True))
+                yield led(key, check, ident.astype(np.int64), np.full(len(key), COPY, np.int64), parts)
 
     return docs.mapInArrow(run, SCHEMA)
 
@@ -148,11 +212,14 @@ def _index(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
 def verify(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) with ``den`` * intersection >= ``num`` * union, from (id, text).
 
-    A leader's text is sent once to each of its parts; parts are as many as shuffle
-    partitions, so that a leader of very many pairs is spread over all tasks.
+    A leader's text is sent once to each of its parts of about ``LEADS`` pairs, so
+    that a leader of very many pairs is spread over all tasks.
     """
     parts = shuffle_parts(pairs.sparkSession)
-    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(parts)).alias("part"))
+    busy = pairs.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") > LEADS)
+    busy = materialize(busy.select(F.col("a").alias("busy"), F.ceil(F.col("n") / LEADS).alias("parts")), "busy")
+    dealt = pairs.join(busy, F.col("a") == F.col("busy"), "left")
+    dealt = dealt.select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).alias("part"))
     rows = dealt.select("a", "part", F.col("b").alias("want"), F.lit(1).alias("role"))
     rows = rows.unionByName(dealt.select("a", "part", F.col("a").alias("want"), F.lit(0).alias("role")).distinct())
     sent = rows.join(texts, F.col("want") == F.col("id")).select("a", "part", "role", "id", "text").repartition(parts, "a", "part").sortWithinPartitions("a", "part", "role", "id")
@@ -176,6 +243,84 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> Da
     return sent.mapInArrow(run, "a long, b long")
 
 
+def _spanning(sets: list[np.ndarray], ids: list[int], side: list[int], num: int, den: int) -> list[tuple[int, int]]:
+    """Links of two blocks' sets, across them (or within, if they are one): as many as join what all links join.
+
+    Intersections are products of 0/1 matrices over the shingles that two sets have, a slab of them at a time.
+    """
+    n, sizes, cross = len(sets), np.array([len(x) for x in sets]), len(set(side)) > 1
+    token, row = np.concatenate(sets), np.repeat(np.arange(n), sizes)
+    token, inverse, count = np.unique(token, return_inverse=True, return_counts=True)
+    place = np.cumsum(count > 1) - 1
+    own = count[inverse] > 1
+    row, col = row[own], place[inverse[own]]
+    both = np.zeros((n, n), np.float32)
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    for start in range(0, int(place[-1]) + 1 if len(place) else 0, SLAB):
+        x, y = np.searchsorted(col, (start, start + SLAB))
+        m = np.zeros((n, SLAB), np.float32)
+        m[row[x:y], col[x:y] - start] = 1
+        both += m @ m.T
+    near = den * both.astype(np.int64) >= num * (sizes[:, None] + sizes - both.astype(np.int64))
+    side = np.array(side)
+    near &= np.triu(np.ones((n, n), bool), 1) & ((side[:, None] != side) if cross else True)
+    parent = list(range(n))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    out = []
+    for i, j in zip(*np.nonzero(near), strict=True):
+        x, y = root(int(i)), root(int(j))
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            out.append((ids[i], ids[j]))
+    return out
+
+
+def _families(rows: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links within families: the sets (key, id) that keys of many sets bring together.
+
+    A family is dealt in blocks, and each two blocks meet in one task, which
+    returns a spanning part of their links; no pair leaves a task otherwise.
+    """
+    parts = shuffle_parts(rows.sparkSession)
+    first = materialize(rows.groupBy("key").agg(F.min("id").alias("a")).withColumnRenamed("key", "k"), "first")
+    family = materialize(components(rows.join(first, F.col("key") == F.col("k")).select("a", F.col("id").alias("b"))), "families")
+    blocks = materialize(family.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).withColumnRenamed("component", "of"), "blocks")
+    dealt = materialize(family.join(blocks, F.col("component") == F.col("of")).select("of", "node", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")), "members")
+    sent = dealt.join(texts, F.col("node") == F.col("id")).withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)")))
+    sent = sent.select("of", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "id", "text")
+    sent = sent.repartition(parts, "of", "i", "j").sortWithinPartitions("of", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, at = WordHash(), None
+        sets: list[np.ndarray] = []
+        ids: list[int] = []
+        side: list[int] = []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            found = _spanning(sets, ids, side, num, den) if len(sets) > 1 else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+
+        for batch in batches:
+            of, i, j, block, ident, text = batch.columns
+            for r, here in enumerate(zip(of.to_pylist(), i.to_pylist(), j.to_pylist(), strict=True)):
+                if here != at:
+                    yield from done()
+                    at, sets, ids, side = here, [], [], []
+                sets.append(shingle_set(text[r].as_py(), k, seen))
+                ids.append(ident[r].as_py())
+                side.append(block[r].as_py())
+        yield from done()
+
+    return materialize(sent.mapInArrow(run, "a long, b long"), "links")
+
+
 def link(df: DataFrame, doc: str = "doc_id", text: str = "text", k: int = 4, num: int = 85, den: int = 100, share: float | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``df``.
 
@@ -183,42 +328,43 @@ def link(df: DataFrame, doc: str = "doc_id", text: str = "text", k: int = 4, num
     in place of the costs.
     """
     docs = df.select(F.col(doc).cast("long").alias("id"), F.col(text).alias("text"))
-    sizes = materialize(_sizes(docs, k), "sizes")
+    every = materialize(_sizes(docs, k), "sizes")
+    sizes = every.filter("gram IS NULL").drop("gram")
+    often = every.filter("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(MOST_COMMON).select("gram")
+    common = np.array([r.gram for r in often.collect()], np.int64).view(np.uint64)
     edges = Bands(num, den, {}).low
     band = reduce(lambda e, i: e.when(F.col("n") < edges[i + 1], i), range(1, len(edges) - 1), F.when(F.col("n") < edges[1], 0))
     counts = {r.band: r["count"] for r in sizes.filter("n > 0").groupBy(band.alias("band")).count().collect()}  # a row a band
-    bands = Bands(num, den, counts, share)
-
-    index = _index(docs.filter("id IS NOT NULL AND text IS NOT NULL"), k, bands)
-    rows = materialize(shared(index).select("key", "check", "id", F.col("lead_id").alias("lead")), "index")
-    copies = rows.filter("check = 1").select(F.col("lead").alias("a"), F.col("id").alias("b"))
-    rows = rows.filter("check = 0").drop("check")
+    bands = Bands(num, den, counts, share, common)
+
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    index = _index(docs.filter("id IS NOT NULL AND text IS NOT NULL"), k, bands, parts_for(total * 0.4))
+    rows = materialize(shared(index).select("key", "place", "id", F.col("lead_id").alias("lead")), "index")
+    copies = rows.filter(F.col("place") == COPY).select(F.col("lead").alias("a"), F.col("id").alias("b"))
+    same = materialize(components(copies), "same")
+    rows = rows.filter("place = 0").drop("place")
+    for name in ("id", "lead"):  # equal sets go on as the smallest of their documents
+        of = same.select(F.col("node").alias("copy"), F.col("component").alias("whole"))
+        rows = rows.join(of, F.col(name) == F.col("copy"), "left").withColumn(name, F.coalesce("whole", name)).drop("copy", "whole")
+    rows = materialize(rows, "rows")
     needed = rows.select("id").distinct().withColumnRenamed("id", "want")
     texts = materialize(docs.join(needed, F.col("id") == F.col("want")).dropDuplicates(["id"]).select("id", "text"), "texts")
 
     tested = materialize(rows.filter("lead <> id").select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct(), "tested")
     links = copies.unionByName(materialize(verify(tested, texts, k, num, den), "links"))
     found = materialize(components(links), "components")
-    while True:
-        labelled = rows.select("key", "id").join(found, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-        labelled = materialize(labelled.distinct(), "labelled")
-        open_keys = labelled.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("n > 2 AND lo <> hi")
-        open_keys = materialize(open_keys.select(F.col("key").alias("open")), "open")
-        if open_keys.isEmpty():
-            break
+    labelled = rows.select("key", "id").join(found, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    labelled = materialize(labelled.distinct(), "labelled")
+    open_keys = labelled.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("n > 2 AND lo <> hi")
+    open_keys = materialize(open_keys.select(F.col("key").alias("open"), "n"), "open")
+    if not open_keys.isEmpty():
         rows = materialize(labelled.join(open_keys, F.col("key") == F.col("open")).drop("open"), "rows")
-        turn = Window.partitionBy("key").orderBy(F.xxhash64("key", "id"), "id")
-        leads = rows.withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= LEADS).drop("turn")
-        leads = materialize(leads.select(F.col("key").alias("lead_key"), F.col("id").alias("lead"), F.col("component").alias("other")), "leads")
-        met = rows.join(leads, (F.col("key") == F.col("lead_key")) & (F.col("component") != F.col("other")))
-        fresh = met.select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct()
-        fresh = materialize(fresh.join(tested, ["a", "b"], "left_anti"), "fresh")
-        more = materialize(verify(fresh, texts, k, num, den), "links")
-        tested = tested.unionByName(fresh)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            found = materialize(components(links), "components")
-        rows = rows.join(leads, (F.col("key") == F.col("lead_key")) & (F.col("id") == F.col("lead")), "left_anti")
+        few = rows.filter(F.col("n") <= FEW)
+        met = few.join(few.select(F.col("key").alias("k"), F.col("id").alias("other"), F.col("component").alias("c")), (F.col("key") == F.col("k")) & (F.col("id") < F.col("other")) & (F.col("component") != F.col("c")))
+        fresh = met.select(F.col("id").alias("a"), F.col("other").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+        links = links.unionByName(materialize(verify(materialize(fresh, "fresh"), texts, k, num, den), "links"))
+        links = links.unionByName(_families(rows.filter(F.col("n") > FEW).select("key", "id"), texts, k, num, den))
+        found = materialize(components(links), "components")
     out = sizes.join(found, F.col("id") == F.col("node"), "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
