@@ -59,10 +59,11 @@ def words_of(text: str | None) -> list[bytes]:
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finalizer of a 64-bit hash: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 class WordHash(dict):
@@ -87,11 +88,12 @@ def shingle_hashes(w: np.ndarray, k: int) -> np.ndarray:
     """Hash of each run of k words; a shorter text is one run; no words, none."""
     if not len(w):
         return w
-    k = min(k, len(w))
-    out = np.zeros(len(w) - k + 1, np.uint64)
-    for i in range(k):
-        out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + w[i : len(w) - k + 1 + i])
-    return out
+    k, n = min(k, len(w)), len(w) - min(k, len(w)) + 1
+    out = w[:n].copy()
+    for i in range(1, k):  # words' hashes are spread already, so one mixing at the end will do
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += w[i : n + i]
+    return mix64(out)
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:

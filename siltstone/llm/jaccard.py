@@ -196,7 +196,7 @@ def _index(docs: DataFrame, k: int, bands: Bands, parts: int) -> DataFrame:
                     continue
                 digest = xxhash.xxh3_128_digest(own)
                 if first.setdefault(digest, ident) == ident:
-                    got = np.unique(shared_bands.value.keys(own))
+                    got = shared_bands.value.keys(own)  # a key twice counts once
                     keys.append(got)
                     ids.append(np.full(len(got), ident, np.int64))
                 whole.append((*np.frombuffer(digest, np.uint64), ident))
