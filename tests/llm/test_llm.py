@@ -236,6 +236,32 @@ def test_passages(spark, sf_dir, awkward, empty):
     assert passages.near_passages(empty).isEmpty()
 
 
+@pytest.mark.parametrize("few", [33, 0])
+def test_passages_beyond_leads(spark, monkeypatch, few):
+    """Equal passages whose parts lead elsewhere, and near copies that are far from the first of their family."""
+    monkeypatch.setattr(passages, "FEW", few)
+    monkeypatch.setattr(passages, "TEXTS", 5)
+    r = np.random.default_rng(11)
+    prose = lambda n: [f"w{x}" for x in r.integers(0, 10**9, n)]
+    docs, wanted = [], []
+    for _ in range(4):
+        passage = prose(90)
+        docs += [prose(40) + passage[:45] + prose(40) for _ in range(5)] + [prose(40) + passage[45:] + prose(40) for _ in range(5)]
+        wanted.append((len(docs), len(docs) + 1))
+        docs += [prose(60) + passage + prose(60) for _ in range(2)]
+    for _ in range(4):
+        first = prose(120)
+        other = [x if i % 17 else f"{x}y" for i, x in enumerate(first)]
+        wanted.append((len(docs) + 1, len(docs) + 2))
+        docs += [first, list(other), other[:60] + ["z"] + other[61:]]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    got = {row.doc_id: row.class_id for row in passages.near_passages(df).collect()}
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in docs]
+    for a, b in wanted[4:]:
+        assert 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]) and 10 * len(sets[a] & sets[a - 1]) < 8 * len(sets[a] | sets[a - 1])
+    assert [(a, b) for a, b in wanted if a not in got or got.get(a) != got.get(b)] == []
+
+
 def test_compact_windows():
     h = np.random.default_rng(0).permutation(200).astype(np.uint64)
     got = set(passages.windows(h, 20))
