@@ -34,7 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Documents without an id stay.
     """
-    others = link(docs).filter("component_id <> doc_id").select(F.col("doc_id").alias("_other")).distinct()
+    others = link(docs, k=5, num=80, den=100).filter("component_id <> doc_id").select(F.col("doc_id").alias("_other")).distinct()
     named = docs.filter("doc_id IS NOT NULL").join(materialize(others, "others"), F.col("doc_id") == F.col("_other"), "left_anti")
     return named.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
 

@@ -382,6 +382,18 @@ def test_removal_documents(spark, sf_dir, awkward, empty):
 # --- all together ---
 
 
+def test_pipeline_near_duplicates(spark):
+    """Five-word similarity from 0.8 up is a copy: 41/51 with one of 50 words changed, 180/220 with four of 204; 32/52 is none."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    w = [f"w{i}" for i in range(50)]
+    long = [f"v{i}" for i in range(204)]
+    docs = [(1, w), (2, w[:25] + ["z"] + w[26:]), (3, long), (4, [f"{x}y" if i in (40, 80, 120, 160) else x for i, x in enumerate(long)]), (5, [f"u{i}" for i in range(46)]), (6, [f"u{i}y" if i in (15, 30) else f"u{i}" for i in range(46)])]
+    texts = [(i, " ".join(x)) for i, x in docs]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(texts, "doc_id long, text string"), "")
+    want = {c for _, c in brute_components(texts, 5, 80, 100).values()}
+    assert want == {1, 3, 5, 6} and {r.doc_id for r in got.collect()} == want
+
+
 def test_pipeline_against_brute_force(spark, sf_dir):
     """Each stage against a plain version of it, on what the stage before kept."""
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
