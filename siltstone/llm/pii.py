@@ -96,7 +96,6 @@ _CODE = re.compile(rb"[0-9A-Za-z+/_-]{12,}")
 
 def features(word: bytes) -> tuple[str, ...]:
     """Names of a word's features; they depend on its shape, not on its letters."""
-    word = word[:400]
     core = word.strip(b".,;:!?\"'()[]{}<>")
     shape = _RUNS.sub(rb"\1", word.translate(_SHAPE))[:10].decode("latin-1")
     inner = _RUNS.sub(rb"\1", core.translate(_SHAPE))[:10].decode("latin-1")

@@ -317,6 +317,15 @@ def test_personal_data_awkward(spark, awkward, empty):
     assert [(s["kind"], s["start"], s["end"]) for s in r.all_spans] == [("secret", 11, 31), ("email", 36, 42)]
 
 
+def test_field_sees_long_words_whole(spark):
+    head, code = '{"a":"' + "b," * 250 + '","token":"', "0123456789abcdef0123"
+    df = spark.createDataFrame([(f"foo {head}{code}\"}} bar",)], "text string")
+    (span,) = pii.find_personal_data(df, pii.labelled_table(spark)).first().all_spans
+    assert span["kind"] == "secret" and span["start"] <= 4 + len(head) and span["end"] >= 4 + len(head) + len(code)
+    for n in (10, 500):
+        assert pii.features(b"(" * n + b"a=" + code.encode())[2:] == pii.features(b"a=" + code.encode())[2:]
+
+
 # --- 9 ---
 
 
