@@ -10,8 +10,9 @@ from siltstone.operators import graph, knn, pq
 from siltstone.sources.binary import vector_blobs
 from siltstone.sources.tables import table
 
-#: Dimensions, chunks and codes of the queries' codebook; queries are the ids below N_QUERIES.
+#: Dimensions, chunks and codes of the queries' codebook; queries with SQL ask the ids below N_QUERIES, the others every ASK_EVERY-th id.
 DIMS, CHUNKS, CODES, N_QUERIES, K = 64, 16, 16, 10, 10
+ASK_EVERY = 20
 
 
 def _base(s: SparkSession, d: str) -> DataFrame:
@@ -100,12 +101,14 @@ def graph_reorder(s: SparkSession, d: str) -> DataFrame:
 
 
 def entry_points(s: SparkSession, d: str) -> DataFrame:
-    return graph.entry_points(_base(s, d), graph_bfs_levels(s, d), 5)
+    b = _base(s, d)
+    edges = knn.nearest(b, b, 4, skip_self=True).select(F.col("qid").alias("src"), F.col("id").alias("dst"))
+    return graph.entry_points(b, graph.bfs_levels(edges.persist(), s.range(1).select("id")), 5)
 
 
 def robust_prune(s: SparkSession, d: str) -> DataFrame:
     b = _base(s, d)
-    cands = knn.nearest(b, b.filter("id < 100"), 40, skip_self=True).groupBy(F.col("qid").alias("id")).agg(F.sort_array(F.collect_list("id")).alias("cands"))
+    cands = knn.nearest(b, b, 40, skip_self=True).groupBy(F.col("qid").alias("id")).agg(F.sort_array(F.collect_list("id")).alias("cands"))
     return graph.prune_table(b, cands, 12, 1.2)
 
 
@@ -116,13 +119,18 @@ def pq_train(s: SparkSession, d: str) -> DataFrame:
     return pq.train(p, CODES, 12).groupBy("chunk").agg(F.count("*").alias("n_codes"))
 
 
+def _every_nth(b: DataFrame) -> DataFrame:
+    return b.filter(F.col("id") % ASK_EVERY == 0)
+
+
 def vamana_search(s: SparkSession, d: str) -> DataFrame:
     b = _base(s, d)
-    return graph.search(graph.build(b, degree=24, size=50), _asked(b), K, size=50)
+    return graph.search(graph.build(b, degree=24, size=50), _every_nth(b), K, size=50)
 
 
 def vamana_recall(s: SparkSession, d: str) -> DataFrame:
-    return knn.recall(vamana_search(s, d), knn_exact_l2(s, d), K)
+    b = _base(s, d)
+    return knn.recall(vamana_search(s, d), knn.nearest(b, _every_nth(b), K), K)
 
 
 def fbin_stripes(s: SparkSession, d: str) -> DataFrame:

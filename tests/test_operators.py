@@ -185,3 +185,30 @@ def test_committed_batches(spark, tmp_path):
     spark.createDataFrame(data, LOG).write.parquet(str(tmp_path / "in"))
     commit_batches(spark.readStream.schema(LOG).parquet(str(tmp_path / "in")), str(tmp_path / "out"))
     assert committed(spark, str(tmp_path / "out")).agg(F.max("lsn")).first()[0] == 7
+
+
+def test_vector_queries_cover_the_table(spark, sf_dir):
+    """Pruning, entry points and graph search against brute force over all vectors."""
+    from siltstone.plans.vector_queries import QUERIES
+
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").orderBy("vec_id").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float64)
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    near = np.argsort(d, axis=1, kind="stable")
+    pruned = {r.id: r.nbrs for r in QUERIES["robust_prune"](spark, sf_dir).collect()}
+    assert pruned == {int(ids[i]): ids[graph.robust_prune(x, i, np.sort(near[i, :40]), 12, 1.2)].tolist() for i in range(len(ids))}
+    level, front = {0: 0}, [0]
+    while front:
+        nxt = sorted({int(j) for i in front for j in near[i, :4]} - set(level))
+        level |= {j: level[front[0]] + 1 for j in nxt}
+        front = nxt
+    order = sorted(level, key=lambda i: (level[i], i))[:50]
+    own, far = [order[0]], d[order[0]].copy()
+    far[order[0]] = 0
+    while len(own) < 5:
+        own.append(max(order, key=lambda i: (far[i], -order.index(i))))
+        far = np.minimum(far, np.where(np.arange(len(ids)) == own[-1], 0, d[own[-1]]))
+    assert [r.id for r in QUERIES["entry_points"](spark, sf_dir).orderBy("nth").collect()] == ids[own].tolist()
+    recall = {r.qid: r.recall for r in QUERIES["vamana_recall"](spark, sf_dir).collect()}
+    assert set(recall) == {i for i in ids.tolist() if i % 20 == 0} and np.mean(list(recall.values())) >= 0.9
