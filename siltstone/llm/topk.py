@@ -1,21 +1,28 @@
 """Exact top-k inner products by pivot-table elimination.
 
-The table holds every vector's distances to the pivots. For a query q and a
-vector x the triangle inequality gives |q - x| >= max_p |d(q, p) - d(x, p)|, and
-with it q.x = (|q|^2 + |x|^2 - |q - x|^2) / 2 has an upper bound. Candidates are
-evaluated in bound order until the next bound is below the k-th score held.
-
-Queries are dealt in blocks of ``QUERY_BLOCK`` and the rows in blocks of
-``ROW_BLOCK``; a task streams row blocks past one query block, so that its memory
-is that of two blocks whatever the table. The work is that of a stated query set
-against all rows: the bounds cut products, not the pairs of blocks.
-
-Defined results: vectors that are null, of another length than the queries', or
-that hold a null, a non-finite component or one whose integer form is 2^24 or more
-take no part (scores are then exact in double arithmetic up to length 32);
-longer vectors are multiplied as 64-bit integers. A row never answers for its own
-id; repeated ids count once each; ties go to the smaller id; fewer than k rows
-give all of them; an empty table gives no rows.
+The table holds every vector's distances to the pivots; it is made once, when the
+rows are packed, and travels with them. For a query q and a vector x the triangle
+inequality gives |q - x| >= max_p |d(q, p) - d(x, p)|, and with it
+q.x = (|q|^2 + |x|^2 - |q - x|^2) / 2 has an upper bound. Rows are packed by their
+nearest pivot, and a run of ``RUN`` rows whose range of distances keeps it below the
+k-th score held is passed over as a whole. The other candidates are evaluated in
+bound order until the next bound is below that score.
+
+Queries are packed in blocks of ``QUERY_BLOCK`` and the rows in blocks of
+``ROW_BLOCK``; a row block is sent once for each query block, and a task streams row
+blocks past one query block, so that its memory is that of two blocks whatever the
+table. The work is that of a stated query set against all rows: the bounds cut
+products, not the pairs of blocks.
+
+Scores are integers throughout: products of doubles where they stay below 2^53, of
+64-bit integers below 2^63, of Python's integers beyond; a score that a long cannot
+hold is given as the nearest long.
+
+Defined results: vectors that are null or that hold a null or a non-finite component
+take no part; vectors meet those of their own length only. A row never answers for
+its own id; a row without an id takes no part; repeated ids count once each; ties go
+to the smaller id; fewer than k rows give all of them; an empty table gives no rows;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,17 +31,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import map_batches, materialize, shuffle_parts, table
 
-QUERY_BLOCK, ROW_BLOCK = 1024, 4096
+QUERY_BLOCK, ROW_BLOCK = 8192, 4096
+#: Queries that are bounded at once, and rows that are passed over together.
+ASKED, RUN = 512, 128
 #: Pivots are picked far apart among this many vectors of smallest hashed id.
 PIVOTS, PIVOT_SAMPLE = 16, 2000
 #: Candidates of one query that are evaluated at once.
 STEP = 64
-_LARGEST = 1 << 24
+_LONG = 2**63 - 1
 
 
 def pick_pivots(x: np.ndarray, n: int) -> np.ndarray:
@@ -54,57 +64,107 @@ def to_pivots(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(sq, 0))
 
 
+def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Exact inner products of the rows of x with q, both integers held as doubles, as longs."""
+    most = x.shape[1] * float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0))
+    if most < 2.0**53:
+        return (x @ q).astype(np.int64)
+    if most < 2.0**62:
+        return x.astype(np.int64) @ q.astype(np.int64)
+    own = [int(v) for v in q]
+    return np.array([max(-_LONG, min(_LONG, sum(int(a) * b for a, b in zip(row, own, strict=True)))) for row in x], np.int64)
+
+
+class Block:
+    """Packed rows: ids, vectors, distances to the pivots."""
+
+    def __init__(self, ids: bytes, vectors: bytes, kind: str, dim: int, near: bytes):
+        self.ids = np.frombuffer(ids, np.int64)
+        self.x = np.frombuffer(vectors, kind).reshape(len(self.ids), dim).astype(np.float64)
+        self.d = np.frombuffer(near, np.float32).reshape(len(self.ids), -1)
+        self.sq = (self.x * self.x).sum(1)
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+
 class Held:
     """The best k of a block of queries so far: scores descending, then ids ascending."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, pivots: np.ndarray, k: int):
-        self.ids, self.x, self.k = ids, x, k
-        self.d, self.sq = to_pivots(x, pivots), (x * x).sum(1)
-        self.score = np.full((len(ids), k), -np.inf)
-        self.who = np.full((len(ids), k), np.iinfo(np.int64).max)
-
-    def offer(self, ids: np.ndarray, x: np.ndarray, pivots: np.ndarray) -> None:
-        d, sq = to_pivots(x, pivots), (x * x).sum(1)
-        exact = x.astype(np.int64) if x.shape[1] * float(np.abs(x).max(initial=0)) * float(np.abs(self.x).max(initial=0)) >= 2.0**53 else x
-        low = np.zeros((len(self.ids), len(ids)), np.float32)
-        mine, theirs = self.d.astype(np.float32), np.ascontiguousarray(d.T.astype(np.float32))
-        gap = np.empty_like(low)
-        for p in range(len(pivots)):
-            np.subtract(mine[:, p, None], theirs[p], out=gap)
-            np.maximum(low, np.abs(gap, out=gap), out=low)
-        # single precision loses less than this; no candidate may be lost to it
-        slack = 1e-5 * (1 + float(self.d.max(initial=0)) + float(d.max(initial=0)))
-        low = np.maximum(low - np.float32(slack), 0)
-        bound = (self.sq[:, None] + sq - low.astype(np.float64) ** 2) / 2 + 1e-6 * (1 + np.abs(sq))
-        for i in range(len(self.ids)):
-            self._query(i, ids, exact, bound[i])
+    def __init__(self, asked: Block, k: int):
+        self.asked, self.k = asked, k
+        self.size = np.zeros(len(asked), np.int64)
+        self.score, self.who = np.zeros((len(asked), k), np.int64), np.zeros((len(asked), k), np.int64)
+
+    def floor(self, at: slice) -> np.ndarray:
+        """The scores that a row must reach."""
+        return np.where(self.size[at] < self.k, -np.inf, self.score[at, -1].astype(np.float64))
+
+    def offer(self, rows: Block) -> None:
+        starts = np.arange(0, len(rows), RUN)
+        least, most, largest = np.minimum.reduceat(rows.d, starts), np.maximum.reduceat(rows.d, starts), np.maximum.reduceat(rows.sq, starts)
+        length = np.sqrt(rows.sq.max(initial=0)) + np.sqrt(self.asked.sq.max(initial=0))
+        # rounding of distances and of single precision is less than this; no candidate may be lost to it
+        slack = 1e-5 * (1 + float(self.asked.d.max(initial=0)) + float(rows.d.max(initial=0))) + 1e-6 * length
+        for begin in range(0, len(self.asked), ASKED):
+            at = slice(begin, min(begin + ASKED, len(self.asked)))
+            d, sq = self.asked.d[at], self.asked.sq[at]
+            apart = np.zeros((len(d), len(starts)), np.float32)
+            for p in range(d.shape[1]):
+                apart = np.fmax(apart, np.fmax(least[:, p] - d[:, p, None], d[:, p, None] - most[:, p]))
+            live = self._bound(sq, largest, apart, slack) >= self.floor(at)[:, None]
+            some = np.repeat(live.any(0), np.diff(np.append(starts, len(rows))))
+            if not some.any():
+                continue
+            ids, x, near, own = rows.ids[some], rows.x[some], rows.d[some].T, rows.sq[some]
+            low, gap = np.zeros((len(d), len(ids)), np.float32), np.empty((len(d), len(ids)), np.float32)
+            for p in range(d.shape[1]):
+                np.subtract(d[:, p, None], near[p], out=gap)
+                np.fmax(low, np.abs(gap, out=gap), out=low)
+            bound = self._bound(sq, own, low, slack)
+            for i in range(len(d)):
+                self._query(begin + i, ids, x, bound[i])
+
+    @staticmethod
+    def _bound(sq: np.ndarray, other: np.ndarray, apart: np.ndarray, slack: float) -> np.ndarray:
+        """Upper bounds of scores; what cannot be told in doubles has none."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            low = np.maximum(apart.astype(np.float64) - slack, 0)
+            bound = (sq[:, None] + other - low**2) / 2 + 1e-6 * (1 + np.abs(other) + sq[:, None])
+        return np.where(np.isfinite(bound), bound, np.inf)
 
     def _query(self, i: int, ids: np.ndarray, x: np.ndarray, bound: np.ndarray) -> None:
-        q = self.x[i].astype(x.dtype)
-        live = np.flatnonzero((bound >= self.score[i, -1]) & (ids != self.ids[i]))
+        q, own = self.asked.x[i], slice(i, i + 1)
+        live = np.flatnonzero((bound >= self.floor(own)[0]) & (ids != self.asked.ids[i]))
         first = live if len(live) <= STEP else live[np.argpartition(-bound[live], STEP)[:STEP]]
-        self._take(i, ids[first], x[first] @ q)
+        self._take(i, ids[first], products(x[first], q))
         if len(live) <= STEP:
             return
         done = np.zeros(len(ids), bool)
         done[first] = True
-        live = live[~done[live] & (bound[live] >= self.score[i, -1])]
+        live = live[~done[live] & (bound[live] >= self.floor(own)[0])]
         live = live[np.argsort(-bound[live], kind="stable")]
         start, width = 0, STEP
-        while start < len(live) and bound[live[start]] >= self.score[i, -1]:
-            own = live[start : start + width]
-            self._take(i, ids[own], x[own] @ q)
+        while start < len(live) and bound[live[start]] >= self.floor(own)[0]:
+            some = live[start : start + width]
+            self._take(i, ids[some], products(x[some], q))
             start, width = start + width, width * 4
 
     def _take(self, i: int, ids: np.ndarray, scores: np.ndarray) -> None:
-        near = scores >= self.score[i, -1]
-        score, who = np.concatenate([self.score[i], scores[near].astype(np.float64)]), np.concatenate([self.who[i], ids[near]])
+        n = self.size[i]
+        if n == self.k:
+            ids, scores = ids[scores >= self.score[i, -1]], scores[scores >= self.score[i, -1]]
+        score, who = np.concatenate([self.score[i, :n], scores]), np.concatenate([self.who[i, :n], ids])
         best = np.lexsort((who, -score))[: self.k]
-        self.score[i], self.who[i] = score[best], who[best]
+        self.size[i] = len(best)
+        self.score[i, : len(best)], self.who[i, : len(best)] = score[best], who[best]
+
+
+PACKED = "ids binary, vectors binary, kind string, dim int, near binary"
 
 
-def _blocks(df: DataFrame, vec: str, emb: str, size: int) -> DataFrame:
-    """(block, ids, vectors, dim): rows packed by up to ``size``, components floor(64 x)."""
+def _blocks(df: DataFrame, vec: str, emb: str, size: int, pivots: Broadcast | None = None) -> DataFrame:
+    """Rows packed by up to ``size``, by nearest pivot; components floor(64 x) in the narrowest kind that holds them."""
 
     def pack(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, rows = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
@@ -113,59 +173,64 @@ def _blocks(df: DataFrame, vec: str, emb: str, size: int) -> DataFrame:
             if row is None or None in row:
                 continue
             v = np.asarray(row, np.float64)
-            if np.isfinite(v).all() and (np.abs(v := np.floor(64 * v)) < _LARGEST).all():
-                kept.setdefault(len(v), []).append((i, v))
+            if np.isfinite(v).all():
+                # 64 times a double near the largest is none; it is held at 1e308, and its scores at a long's end
+                kept.setdefault(len(v), []).append((i, np.clip(np.floor(64 * v), -1e308, 1e308)))
         out = []
         for dim, own in kept.items():
+            ident, x = np.array([i for i, _ in own], np.int64), np.array([v for _, v in own]).reshape(len(own), dim)
+            near = np.zeros((len(own), 0), np.float32)
+            if pivots is not None and dim in pivots.value:
+                near = to_pivots(x, pivots.value[dim]).astype(np.float32)
+                order = np.lexsort((near.min(1), near.argmin(1)))
+                ident, x, near = ident[order], x[order], near[order]
+            most = np.abs(x).max(initial=0)
+            kind = "<i2" if most < 2**15 else "<i4" if most < 2**31 else "<f8"
             for at in range(0, len(own), size):
-                part = own[at : at + size]
-                out.append((np.array([i for i, _ in part], np.int64).tobytes(), np.array([v for _, v in part], np.int32).tobytes(), dim))
-        return pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], t) for j, t in enumerate((pa.binary(), pa.binary(), pa.int32()))], names=["ids", "vectors", "dim"])
-
-    return map_batches(df.filter(F.col(vec).isNotNull()).select(F.col(vec).cast("long"), F.col(emb).cast("array<double>")), pack, "ids binary, vectors binary, dim int")
-
+                to = at + size
+                out.append((ident[at:to].tobytes(), x[at:to].astype(kind).tobytes(), kind, dim, near[at:to].tobytes()))
+        types = (pa.binary(), pa.binary(), pa.string(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], t) for j, t in enumerate(types)], names=["ids", "vectors", "kind", "dim", "near"])
 
-def _unpack(ids: bytes, vectors: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    own = np.frombuffer(ids, np.int64)
-    return own, np.frombuffer(vectors, np.int32).reshape(len(own), dim).astype(np.float64)
+    return map_batches(df.filter(F.col(vec).isNotNull()).select(F.col(vec).cast("long"), F.col(emb).cast("array<double>")), pack, PACKED)
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int, vec: str = "vec_id", emb: str = "embedding", n_pivots: int = PIVOTS) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's k best rows other than itself."""
     spark = rows.sparkSession
     sample = rows.filter(F.col(vec).isNotNull()).select(vec, emb).orderBy(F.xxhash64(vec), vec).limit(PIVOT_SAMPLE)
-    asked = materialize(_blocks(queries, vec, emb, QUERY_BLOCK).withColumn("block", F.monotonically_increasing_id()), "queries")
     pivots: dict[int, np.ndarray] = {}
     for r in _blocks(sample, vec, emb, PIVOT_SAMPLE).toLocalIterator():  # PIVOT_SAMPLE vectors at most
-        x = _unpack(bytes(r.ids), bytes(r.vectors), r.dim)[1]
+        x = Block(r.ids, r.vectors, r.kind, r.dim, r.near).x
         pivots[r.dim] = pick_pivots(np.concatenate([pivots[r.dim], x]) if r.dim in pivots else x, n_pivots)
-    shared = spark.sparkContext.broadcast(pivots)
+    table_of = spark.sparkContext.broadcast(pivots)
+    queries = queries.select(vec, emb)
+    few = max(1, -(-queries.count() // QUERY_BLOCK))
+    asked = _blocks(queries.repartition(few, F.xxhash64(vec)), vec, emb, QUERY_BLOCK, table_of)
+    asked = materialize(asked.withColumn("block", F.monotonically_increasing_id()), "queries")
     # every query block meets every row block of its length; row blocks of a query block are dealt over slices
     slices = max(1, shuffle_parts(spark))
-    packed = _blocks(rows, vec, emb, ROW_BLOCK).withColumn("slice", F.pmod(F.xxhash64("ids"), F.lit(slices)).cast("int"))
-    fan = asked.select("block", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), "dim", F.lit(True).alias("asks"), "ids", "vectors")
-    pairs = packed.join(fan.select("block", "slice", "dim"), ["slice", "dim"]).select("block", "slice", "dim", F.lit(False).alias("asks"), "ids", "vectors")
+    packed = _blocks(rows, vec, emb, ROW_BLOCK, table_of).withColumn("slice", F.pmod(F.xxhash64("ids"), F.lit(slices)).cast("int"))
+    fan = asked.select("block", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(True).alias("asks"), "ids", "vectors", "kind", "dim", "near")
+    pairs = packed.join(fan.select("block", "slice", "dim"), ["slice", "dim"]).select("block", "slice", F.lit(False).alias("asks"), "ids", "vectors", "kind", "dim", "near")
     dealt = pairs.unionByName(fan).repartition(slices, "block", "slice").sortWithinPartitions("block", "slice", F.col("asks").desc())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = None, None
 
         def best(h: Held | None) -> Iterator[pa.RecordBatch]:
-            if h is None:
-                return
-            q, j = np.nonzero(np.isfinite(h.score))
-            if len(q):
-                yield pa.RecordBatch.from_arrays([pa.array(h.ids[q]), pa.array(h.who[q, j]), pa.array(h.score[q, j].astype(np.int64))], names=["query_id", "vec_id", "score"])
+            if h is not None and h.size.any():
+                q, j = np.nonzero(np.arange(k) < h.size[:, None])
+                yield pa.RecordBatch.from_arrays([pa.array(h.asked.ids[q]), pa.array(h.who[q, j]), pa.array(h.score[q, j])], names=["query_id", "vec_id", "score"])
 
         for batch in batches:
             for r in batch.to_pylist():
-                ids, x = _unpack(r["ids"], r["vectors"], r["dim"])
-                own = shared.value.get(r["dim"], np.zeros((0, r["dim"])))
+                block = Block(r["ids"], r["vectors"], r["kind"], r["dim"], r["near"])
                 if r["asks"]:
                     yield from best(held)
-                    held, at = Held(ids, x, own, k), (r["block"], r["slice"])
+                    held, at = Held(block, k), (r["block"], r["slice"])
                 elif held is not None and at == (r["block"], r["slice"]):
-                    held.offer(ids, x, own)
+                    held.offer(block)
         yield from best(held)
 
     found = dealt.mapInArrow(run, "query_id long, vec_id long, score long")

@@ -171,20 +171,31 @@ def test_lines_awkward(awkward, empty):
 # --- 4 ---
 
 
-@pytest.mark.parametrize("block", [7, 4096])
-def test_top_k_awkward(spark, monkeypatch, block):
-    monkeypatch.setattr(topk, "ROW_BLOCK", block)
-    monkeypatch.setattr(topk, "STEP", 3)
-    r = np.random.default_rng(1)
-    rows = [(i, [float(x) for x in r.normal(size=5).round(1)]) for i in range(60)] + [(100, None), (101, [1.0, None, 0.0, 0.0, 0.0]), (102, [float("nan")] * 5), (103, [1e30] * 5), (104, [1.0]), (120, [0.5] * 5), (121, [0.5] * 5)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = {(x.query_id, x["rank"]): (x.vec_id, x.score) for x in topk.top_k(df, df.filter("vec_id % 20 = 0"), 4, n_pivots=3).collect()}
-    v = {i: np.floor(64 * np.float32(x).astype(float)).astype(int) for i, x in rows if x and len(x) == 5 and None not in x and np.isfinite(x).all() and max(x) < 1e6}
+def best_products(rows, k):
+    """Scores by Python's integers; a long's ends hold what is beyond them."""
+    v = {i: [int(np.floor(64 * float(np.float32(c)))) for c in x] for i, x in rows if i is not None and x is not None and None not in x and np.isfinite(np.float32(x)).all()}
     want = {}
     for q in (i for i in v if i % 20 == 0):
-        best = sorted(((-int(v[q] @ v[i]), i) for i in v if i != q))[:4]
-        want |= {(q, n + 1): (i, -s) for n, (s, i) in enumerate(best)}
-    assert got == want
+        score = {i: max(1 - 2**63, min(2**63 - 1, sum(a * b for a, b in zip(v[q], x, strict=True)))) for i, x in v.items() if i != q and len(x) == len(v[q])}
+        want |= {(q, n + 1): (i, score[i]) for n, i in enumerate(sorted(score, key=lambda i: (-score[i], i))[:k])}
+    return want
+
+
+@pytest.mark.parametrize(("rows_at_once", "queries_at_once"), [(7, 2), (4096, 8192)])
+def test_top_k_awkward(spark, monkeypatch, rows_at_once, queries_at_once):
+    monkeypatch.setattr(topk, "ROW_BLOCK", rows_at_once)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", queries_at_once)
+    monkeypatch.setattr(topk, "RUN", 3)
+    monkeypatch.setattr(topk, "STEP", 3)
+    r = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in r.normal(size=5).round(1)]) for i in range(60)]
+    rows += [(100, None), (101, [1.0, None, 0.0, 0.0, 0.0]), (102, [float("nan")] * 5), (104, [1.0]), (105, [2.0]), (106, []), (120, [0.5] * 5), (121, [0.5] * 5), (None, [9.0] * 5)]
+    large = [(200 + i, [float(np.float32(x)) for x in r.normal(size=5) * 3e7]) for i in range(50)] + [(260, [1e30] * 5), (261, [-1e30, 1.0, 1.0, 1.0, 1.0])]
+    shifted = [(i, [float(np.float32(x)) for x in 1e6 + r.normal(size=5)]) for i in range(60)]
+    for own in (rows, rows + large, shifted):
+        df = spark.createDataFrame([(i, x, "n", 1) for i, x in own], "vec_id long, embedding array<float>, ids string, block int")
+        got = {(x.query_id, x["rank"]): (x.vec_id, x.score) for x in topk.top_k(df, df.filter("vec_id % 20 = 0"), 4, n_pivots=3).collect()}
+        assert got == best_products(own, 4)
     assert topk.top_k(df.limit(0), df.limit(0), 4).isEmpty()
 
 
