@@ -5,54 +5,55 @@ by two 64-bit hashes of its lines. Of equal windows the one with the smallest
 (id, line number) stays; the lines of all others are removed, overlaps merged.
 
 Defined results: a null text counts as empty; texts of fewer than three lines
-keep all of them; a row without an id takes no part and keeps its text; rows that
-repeat an id and its text count as one document; an empty table gives no rows;
-other columns are untouched.
+keep all of them; rows equal in id and text count as one document, and rows that
+share an id with different texts are documents of their own; documents without an
+id come after all others, and ties go by a hash of the text; an empty table gives
+no rows; other columns are untouched, whatever their names, but ``n_lines`` and
+``n_removed`` are replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import materialize, table
 
 
-def windows(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(_id, _line, _h1, _h2): the windows of every text."""
+def windows(df: DataFrame, row: list[Column], text: str = "text") -> DataFrame:
+    """``row`` and (line, h1, h2): the windows of every text."""
     three = "get(ls, i), get(ls, i + 1), get(ls, i + 2)"
     found = f"""transform(array(split(`{text}`, '\\n')), ls -> if(size(ls) < 3, array(), filter(transform(sequence(0, size(ls) - 3), i -> struct(
         i AS line, xxhash64({three}) AS h1, xxhash64(7, {three}) AS h2, concat({three}) RLIKE '[^\\\\x20\\\\x09-\\\\x0D]' AS held)), w -> w.held)))[0]"""
-    return (
-        df.filter(F.col(doc).isNotNull() & F.col(text).isNotNull())
-        .select(F.col(doc).alias("_id"), F.explode(F.expr(found)).alias("w"))
-        .select("_id", F.col("w.line").alias("_line"), F.col("w.h1").alias("_h1"), F.col("w.h2").alias("_h2"))
-    )
+    every = df.filter(F.col(text).isNotNull()).select(*row, F.explode(F.expr(found)).alias("w"))
+    return every.select("late", "id", "body", "w.line", "w.h1", "w.h2")
 
 
 def dedup_lines(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` with later repeats cut from ``text``, and ``n_lines``, ``n_removed`` added.
 
     The repeated windows are counted with map-side sums and written; the join
-    back then has two plain inputs, so that a hot window's rows can be split.
+    back then has two plain inputs, so that a hot window's rows can be split. A
+    document is joined to its removed lines by a hash of its id and text, which
+    also spreads documents without an id.
     """
-    own = windows(df, doc, text)
-    repeated = own.groupBy("_h1", "_h2").agg(F.min(F.struct("_id", "_line")).alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    own = [F.col(doc).isNull().alias("late"), F.col(doc).alias("id"), F.xxhash64(F.lit(1), text).alias("body")]
+    found = windows(df, own, text).withColumn("at", F.struct("late", "id", "body", "line"))
+    repeated = found.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     repeated = materialize(repeated, "windows")
-    later = own.join(repeated, ["_h1", "_h2"]).filter(F.struct("_id", "_line") != F.col("_first"))
-    starts = later.groupBy("_id").agg(F.sort_array(F.collect_set("_line")).alias("_starts"))
-    kept = """transform(array(split(`{t}`, '\\n')), ls -> if(_starts IS NULL, ls, flatten(zip_with(
-        concat(array(-3), _starts), concat(_starts, array(size(ls))),
-        (a, b) -> if(b > a + 3, slice(ls, a + 4, b - a - 3), array())))))[0]""".format(t=text)
-    n = F.when(F.col(text).isNull() | (F.col(text) == ""), 0).otherwise(F.size(F.split(F.col(text), "\n")))
+    later = found.join(repeated, ["h1", "h2"]).filter(~F.col("at").eqNullSafe(F.col("first")))
+    starts = later.groupBy(F.xxhash64("late", "id", "body").alias("k"), F.col("body").alias("b")).agg(F.sort_array(F.collect_set("line")).alias("starts"))
+    cut = """transform(array(split(txt, '\\n')), ls -> if(starts IS NULL, ls, flatten(zip_with(
+        concat(array(-3), starts), concat(starts, array(size(ls))),
+        (a, b) -> if(b > a + 3, slice(ls, a + 4, b - a - 3), array())))))[0]"""
     names = [c for c in df.columns if c not in (text, "n_lines", "n_removed")]
-    return (
-        df.join(starts, F.col(doc) == F.col("_id"), "left")
-        .withColumn("_kept", F.when(F.col("_starts").isNotNull(), F.expr(kept)))
-        .withColumn("n_lines", n.cast("long"))
-        .withColumn("n_removed", F.coalesce(F.col("n_lines") - F.size("_kept"), F.lit(0)).cast("long"))
-        .select(*names, F.when(F.col("_kept").isNotNull(), F.array_join("_kept", "\n")).otherwise(F.coalesce(F.col(text), F.lit(""))).alias(text), "n_lines", "n_removed")
-    )
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(text).alias("txt"), *own)
+    joined = rows.join(starts, (F.xxhash64("late", "id", "body") == F.col("k")) & (F.col("body") == F.col("b")), "left")
+    kept = joined.withColumn("kept", F.when(F.col("starts").isNotNull(), F.expr(cut)))
+    n = F.when(F.col("txt").isNull() | (F.col("txt") == ""), 0).otherwise(F.size(F.split("txt", "\n"))).cast("long")
+    left = F.when(F.col("kept").isNotNull(), F.array_join("kept", "\n")).otherwise(F.coalesce("txt", F.lit("")))
+    gone = F.coalesce(n - F.size("kept"), F.lit(0)).cast("long")
+    return kept.select(*[F.col(f"row.`{c}`") for c in names], left.alias(text), n.alias("n_lines"), gone.alias("n_removed"))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

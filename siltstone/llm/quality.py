@@ -7,7 +7,9 @@ document is kept when its posterior probability of being good is 0.5 or more.
 
 Defined results: a null text counts as empty, and a text of fewer than
 ``min_words`` words fails the base test; texts are read whole; repeated rows are
-judged each; an empty table gives no rows; other columns are untouched.
+judged each; an empty table gives no rows; a model of no document of ``min_words``
+words judges none; other columns are untouched, whatever their names, but those of
+the names in ``ADDED`` are replaced.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import materialize, table
+from siltstone.llm.common import fresh, materialize, table
 
 #: Rounds of expectation maximisation; the estimates settle well before.
 ROUNDS = 30
@@ -56,8 +58,8 @@ def _without(chars: str) -> str:
     return f"char_length({{t}}) - char_length(translate({{t}}, '{chars}', ''))"
 
 
-def measure(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``_q``: a struct of the counts that the rules read."""
+def measure(df: DataFrame, text: str = "text", into: str = "_q") -> DataFrame:
+    """Adds ``into``: a struct of the counts that the rules read."""
     t = "tt"
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     lines = _let("ls", rf"filter(split({t}, '\n'), l -> l RLIKE '[^\\x20\\x09-\\x0D]')", "struct(size(ls) AS n, size(ls) - size(array_distinct(ls)) AS d)")
@@ -73,16 +75,16 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
         size(array_distinct(ws)) AS n_distinct,
         regexp_count({t}, '[#*$%&|<>]+') AS n_marks)"""
     body = body.replace("\\f", "\\u000C")
-    return df.withColumn("_q", F.expr(_let(t, f"coalesce(`{text}`, '')", _let("ws", _WORDS.format(t=t), body))))
+    return df.withColumn(into, F.expr(_let(t, f"coalesce(`{text}`, '')", _let("ws", _WORDS.format(t=t), body))))
 
 
 def _vote(good: Column, bad: Column) -> Column:
     return F.when(bad, -1).when(good, 1).otherwise(0)
 
 
-def votes() -> list[Column]:
-    """The rules' votes, in the order of RULES, over the columns that ``measure`` makes."""
-    n, q = F.col("_q.n_words"), lambda name: F.col(f"_q.{name}")
+def votes(counts: str = "_q") -> list[Column]:
+    """The rules' votes, in the order of RULES, over the struct that ``measure`` makes."""
+    n, q = F.col(f"{counts}.n_words"), lambda name: F.col(f"{counts}.{name}")
     return [
         _vote(q("n_symbols") * 100 <= n, q("n_symbols") * 100 > n * 10),
         _vote((q("lines.d") == 0) & (q("lines.n") >= 3), (q("lines.d") >= 3) & (q("lines.d") * 100 > q("lines.n") * 30)),
@@ -132,23 +134,21 @@ def assess(df: DataFrame, text: str = "text", min_words: int = 50, carry_text: b
     is left out unless ``carry_text``; columns of the added names are replaced. The
     histogram is joined back by broadcast, as it has 3^9 rows at most.
     """
-    names = [c for c in df.columns if c not in ADDED and (carry_text or c != text)]
-    code = sum(((v + 1) * 3**i for i, v in enumerate(votes())), F.lit(0))
-    measured = measure(df, text).withColumn("_code", code).withColumn("_votes", F.array(*votes()))
-    n, rep = F.col("_q.n_words"), F.col("_q.n_repeat_words")
-    failed = (n < min_words) | (rep * 100 > n * 50)
-    own = materialize(measured.select(*names, F.col("_q"), "_code", "_votes", failed.alias("base_failed")), "quality")
-    patterns = own.filter(F.col("_q.n_words") >= min_words).groupBy(F.col("_code").alias("code")).agg(F.first("_votes").alias("votes"), F.count("*").alias("n"))
-    good = posteriors(patterns).select(F.col("code").alias("_code"), F.col("good").alias("quality"))
-    return (
-        own.join(F.broadcast(good), "_code", "left")
-        .withColumn("quality", F.when(~F.col("base_failed"), F.col("quality")))
-        .withColumn("kept", F.coalesce(F.col("quality") >= 0.5, F.lit(False)))
-        .select(
-            *names,
-            F.col("_q.n_words").alias("n_words"), F.col("_q.word_chars").alias("word_chars"), F.col("_q.n_symbols").alias("n_symbols"),
-            F.col("_q.lines.d").cast("long").alias("n_dup_lines"), F.col("_q.n_repeat_words").alias("n_repeat_words"), "base_failed", "quality", "kept",
-        )
+    names = [f"`{c}`" for c in df.columns if c not in ADDED and (carry_text or c != text)]
+    q, code, cast, failed = fresh(df, "_q", "_code", "_votes", "_failed")
+    number = sum(((v + 1) * 3**i for i, v in enumerate(votes(q))), F.lit(0))
+    measured = measure(df, text, q).withColumn(code, number).withColumn(cast, F.array(*votes(q)))
+    n, rep = F.col(f"{q}.n_words"), F.col(f"{q}.n_repeat_words")
+    measured = measured.withColumn(failed, (n < min_words) | (rep * 100 > n * 50))
+    own = materialize(measured.select(*names, q, code, cast, failed), "quality")
+    patterns = own.filter(n >= min_words).groupBy(F.col(code).alias("code")).agg(F.first(cast).alias("votes"), F.count("*").alias("n"))
+    good = posteriors(patterns).select(F.col("code").alias(code), F.col("good").alias("quality"))
+    quality = F.when(~F.col(failed), F.col("quality"))
+    return own.join(F.broadcast(good), code, "left").select(
+        *names,
+        n.alias("n_words"), F.col(f"{q}.word_chars").alias("word_chars"), F.col(f"{q}.n_symbols").alias("n_symbols"),
+        F.col(f"{q}.lines.d").cast("long").alias("n_dup_lines"), rep.alias("n_repeat_words"), F.col(failed).alias("base_failed"),
+        quality.alias("quality"), F.coalesce(quality >= 0.5, F.lit(False)).alias("kept"),
     )
 
 

@@ -146,20 +146,81 @@ def test_quality_awkward(awkward, empty):
     assert quality.assess(empty).isEmpty()
 
 
+def check_mix(df):
+    rows = mixing.mix(df).collect()
+    assert len(rows) == df.count()
+    by = defaultdict(list)
+    for r in rows:
+        assert 0 <= r.taken <= 2 * r.size and r.times <= 2
+        by[r.source].append(r)
+    for own in by.values():
+        assert abs(sum(r.taken for r in own) - own[0].target) <= max(r.size for r in own)
+    assert sum(own[0].target for own in by.values()) == pytest.approx(1.5 * sum(r.size for r in rows))
+    return rows
+
+
 def test_mixing_totals(spark, sf_dir, awkward, empty):
     for df in (spark.read.parquet(f"{sf_dir}/documents.parquet"), awkward):
-        rows = mixing.mix(df).collect()
-        assert len(rows) == df.count()
-        by = defaultdict(list)
-        for r in rows:
-            assert 0 <= r.taken <= 2 * r.size
-            by[r.source].append(r)
-        for own in by.values():
-            assert abs(sum(r.taken for r in own) - own[0].target) <= max(r.size for r in own)
-        assert sum(own[0].target for own in by.values()) == pytest.approx(1.5 * sum(r.size for r in rows))
+        check_mix(df)
     assert mixing.mix(empty).isEmpty()
 
 
+def test_mixing_ties(spark):
+    """Documents without an id, and rows that repeat one, are not taken all or none."""
+    schema = "doc_id long, text string, source string"
+    rows = [(None, "w " * (1 + i % 4), "a") for i in range(50)] + [(7, "b c d", "b") for _ in range(50)] + [(8, f"x{i} y", "c") for i in range(50)]
+    rows += [(i, "z " * 5, s) for i in range(100, 130) for s in "abc"] + [(i, "", "d") for i in range(20)] + [(1, "only words", "e")]
+    check_mix(spark.createDataFrame(rows, schema))
+    check_mix(spark.createDataFrame([(i, " ", "a") for i in range(9)], schema))
+    full = mixing.mix(spark.createDataFrame([(i, "v" * (i % 2), "a") for i in range(40)] + [(50, "u " * 400, "b")], schema)).collect()
+    assert max(r.times for r in full) <= 2
+
+
+def plain_lines(rows):
+    """Texts (id, text) after removal, by text and first row."""
+    docs = sorted({(i is None, i or 0, t, i) for i, t in rows if t is not None}, key=lambda d: d[:2] + (hash_of(d[2]),))
+    seen, out = set(), {}
+    for _, _, t, i in docs:
+        ls, gone = t.split("\n"), set()
+        for n in range(len(ls) - 2):
+            w = tuple(ls[n : n + 3])
+            if "".join(w).encode().split():
+                if w in seen:
+                    gone |= {n, n + 1, n + 2}
+                seen.add(w)
+        out[i, t] = ("\n".join(x for n, x in enumerate(ls) if n not in gone), len(gone))
+    return out
+
+
+def hash_of(text):
+    """The order of texts that share an id: Spark's xxhash64 of (1, text), looked up in HASHES."""
+    return HASHES[text]
+
+
+HASHES = {}
+
+
+def test_lines_repeated_ids(spark):
+    rows = [(5, "a\nb\nc\nd1 d2 d3"), (5, "q1\nq2\nq3\na\nb\nc"), (5, "a\nb\nc\nd1 d2 d3"), (None, "a\nb\nc"), (None, "n1\nn2\nn3\nn1\nn2\nn3\nn4"), (None, None), (9, "q2\nq3\na\nb"), (6, "q1\nq2\nq3 \na")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    HASHES.update({r.text: r.h for r in df.select("text", F.xxhash64(F.lit(1), "text").alias("h")).collect()})
+    want = plain_lines(rows)
+    got = lines.dedup_lines(df).collect()
+    assert sorted((str(r.doc_id), r.text, r.n_removed) for r in got) == sorted((str(i), *(want[i, t] if t is not None else ("", 0))) for i, t in rows)
+    assert len({r.text for r in got if r.doc_id == 5}) == 2 and any("q1\nq2\nq3" in r.text for r in got if r.doc_id == 5)
+
+
+@pytest.mark.parametrize("names", ["_q _code _votes _failed id", "_source _size _hash _t _below s cut", "_id _starts at h1 body id row txt", "key k a b part"])
+def test_clashing_names(spark, names):
+    """Columns of any name come through unchanged."""
+    extra = names.split()
+    rows = [(i, t, f"s{(i or 0) % 2}", *(f"{c}{n}" for c in extra)) for n, (i, t) in enumerate(AWKWARD)]
+    df = spark.createDataFrame(rows, f"doc_id long, text string, source string, {', '.join(f'`{c}` string' for c in extra)}")
+    want = sorted(tuple(r[3:]) for r in rows)
+    for out in (quality.assess(df), mixing.mix(df), lines.dedup_lines(df), pii.find_personal_data(df, pii.labelled_table(spark)), bpe.encode(df, *bpe.tokenizer_files())):
+        assert sorted(tuple(r[c] for c in extra) for r in out.select(*extra).collect()) == want
+
+
 def test_lines_awkward(awkward, empty):
     got = {r.doc_id: r for r in lines.dedup_lines(awkward).collect() if r.doc_id is not None}
     assert got[13].text == "zz" and got[12].text == "l1 a\nl2 b\nl3 c\nl4 d"
