@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import materialize
+from siltstone.llm.common import discard, materialize
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -32,9 +32,11 @@ def components(links: DataFrame) -> DataFrame:
         low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m")), "low")
         large = both.join(low, F.col("u") == F.col("x")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large, "large")
+        discard(low)
         low = materialize(large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "x"), "low")
         small = large.join(low, F.col("u") == F.col("x")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialize(small.unionByName(low.select(F.col("x").alias("u"), F.col("m").alias("v"))).distinct(), "edges")
+        done, edges = edges, materialize(small.unionByName(low.select(F.col("x").alias("u"), F.col("m").alias("v"))).distinct(), "edges")
+        discard(done, large, low)
         before, state = state, _state(edges)
         if state == before:
             break

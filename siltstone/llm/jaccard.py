@@ -9,16 +9,19 @@ cost: deletions bring a row a shingle, single units bring chance agreements of
 near-empty segments, the more the more sets the band has.
 
 Sets that share a segment key are tested against the first of them, and every
-link found joins components. Keys whose sets still lie in several components go
+link found joins components. A pair's sketches are compared first: a set's bits are
+the parities of its shingles by hash, two sets that differ in d shingles differ in d
+bits at most, and only pairs that may still link send their texts. Keys whose sets still lie in several components go
 on: the untested pairs of a key of ``FEW`` sets or less are tested one by one, and
 the sets of larger keys are compared block by block within tasks that return only
 links which join something. A pair is therefore left out only where its two sets
 are already in one component.
 
 Defined results: a text without words has no shingles and is linked with nothing;
-one with fewer words than a shingle is one shingle; a null text counts as empty; a
-row without an id is returned with no component; rows that repeat an id must
-repeat its text, and count as one document; an empty table gives no rows.
+one with fewer words than a shingle is one shingle; a null text counts as empty; rows
+that repeat an id, or have none, are documents of their own, and the component of
+documents without any id is null; an empty table gives no rows; other columns are
+dropped.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import WordHash, bounded_batches, materialize, mix64, shingle_hashes, shuffle_parts, table, word_hashes, words_of
+from siltstone.llm.common import WordHash, bounded_batches, discard, map_batches, materialize, mix64, numbered, shingle_hashes, shuffle_parts, table, word_hashes, words_of
 from siltstone.llm.components import components
 from siltstone.llm.runs import SCHEMA, led, parts_for, shared
 
@@ -156,25 +159,50 @@ def shingle_set(text: str | None, k: int, seen: WordHash) -> np.ndarray:
     return np.unique(shingle_hashes(word_hashes(words_of(text), seen), k))
 
 
+def sketch(own: np.ndarray) -> bytes:
+    """Parities of a set's hashes over their low bits, one to two bits a shingle."""
+    bits = 1 << max(6, (len(own) - 1).bit_length())
+    odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(data: bytes, size: int) -> int:
+    """A sketch as a number, folded to so many bytes."""
+    x, bits = int.from_bytes(data, "little"), 8 * len(data)
+    while bits > 8 * size:
+        bits //= 2
+        x = (x >> bits) ^ (x & ((1 << bits) - 1))
+    return x
+
+
+def differ(a: bytes, b: bytes) -> int:
+    """Bits in which two sketches differ, at the shorter one's length: no more than shingles that one set alone has."""
+    size = min(len(a), len(b))
+    return (_folded(a, size) ^ _folded(b, size)).bit_count()
+
+
 def _sizes(docs: DataFrame, k: int) -> DataFrame:
-    """(id, n, gram): a document's set size, or, with ``gram``, the n sets of a batch that hold a common shingle."""
+    """(id, row, n, sketch, gram): a document's set size and sketch, or, with ``gram``, the n sets of a batch that hold a common shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = WordHash()
         for batch in bounded_batches(batches, "text", 8 << 20):
-            sizes, sets = [], {}
-            for text in batch.column(1):
+            sizes, sketches, sets = [], [], {}
+            for text in batch.column(2):
                 own = shingle_set(text.as_py(), k, seen)
                 sizes.append(len(own))
+                sketches.append(sketch(own))
                 sets.setdefault(xxhash.xxh3_128_digest(own), own)
             none = pa.nulls(len(sizes), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), none], names=["id", "n", "gram"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), none], names=names)
             gram, n = np.unique(np.concatenate(list(sets.values())), return_counts=True)
             gram, n = gram[n >= COMMON], n[n >= COMMON]
             if len(gram):
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(gram), pa.int64()), pa.array(n), pa.array(gram.view(np.int64))], names=["id", "n", "gram"])
+                none = pa.nulls(len(gram), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, pa.array(n), pa.nulls(len(gram), pa.binary()), pa.array(gram.view(np.int64))], names=names)
 
-    return docs.mapInArrow(run, "id long, n long, gram long")
+    names = ["id", "row", "n", "sketch", "gram"]
+    return docs.select("id", "row", "text").mapInArrow(run, "id long, row long, n long, sketch binary, gram long")
 
 
 #: The place of a row that stands for a whole set, equal to its lead's.
@@ -209,6 +237,22 @@ def _index(docs: DataFrame, k: int, bands: Bands, parts: int) -> DataFrame:
     return docs.mapInArrow(run, SCHEMA)
 
 
+def plausible(pairs: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches allow a link."""
+    for end in ("a", "b"):
+        own = sizes.select(F.col("row").alias("at"), F.col("n").alias(f"n_{end}"), F.col("sketch").alias(f"sketch_{end}"))
+        pairs = pairs.join(own, F.col(end) == F.col("at")).drop("at")
+    pairs = pairs.filter(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num).select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        a, b, n_a, n_b = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        far = np.array([differ(x.as_py(), y.as_py()) for x, y in zip(batch.column(4), batch.column(5), strict=True)], np.int64)
+        near = far * (den + num) <= (n_a + n_b) * (den - num)
+        return pa.RecordBatch.from_arrays([pa.array(a[near]), pa.array(b[near])], names=["a", "b"])
+
+    return map_batches(pairs, run, "a long, b long")
+
+
 def verify(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) with ``den`` * intersection >= ``num`` * union, from (id, text).
 
@@ -327,7 +371,7 @@ def link(df: DataFrame, doc: str = "doc_id", text: str = "text", k: int = 4, num
     ``share`` sets the part of each band's units that two-unit segments take,
     in place of the costs.
     """
-    docs = df.select(F.col(doc).cast("long").alias("id"), F.col(text).alias("text"))
+    docs = numbered(df, doc, text)
     every = materialize(_sizes(docs, k), "sizes")
     sizes = every.filter("gram IS NULL").drop("gram")
     often = every.filter("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(MOST_COMMON).select("gram")
@@ -337,21 +381,29 @@ def link(df: DataFrame, doc: str = "doc_id", text: str = "text", k: int = 4, num
     counts = {r.band: r["count"] for r in sizes.filter("n > 0").groupBy(band.alias("band")).count().collect()}  # a row a band
     bands = Bands(num, den, counts, share, common)
 
+    docs = docs.select(F.col("row").alias("id"), "text")
     total = sizes.agg(F.sum("n")).first()[0] or 0
-    index = _index(docs.filter("id IS NOT NULL AND text IS NOT NULL"), k, bands, parts_for(total * 0.4))
-    rows = materialize(shared(index).select("key", "place", "id", F.col("lead_id").alias("lead")), "index")
-    copies = rows.filter(F.col("place") == COPY).select(F.col("lead").alias("a"), F.col("id").alias("b"))
+    index = _index(docs.filter("text IS NOT NULL"), k, bands, parts_for(total * 0.4))
+    found = materialize(shared(index).select("key", "place", "id", F.col("lead_id").alias("lead")), "index")
+    copies = found.filter(F.col("place") == COPY).select(F.col("lead").alias("a"), F.col("id").alias("b"))
     same = materialize(components(copies), "same")
-    rows = rows.filter("place = 0").drop("place")
+    rows = found.filter("place = 0").drop("place")
     for name in ("id", "lead"):  # equal sets go on as the smallest of their documents
         of = same.select(F.col("node").alias("copy"), F.col("component").alias("whole"))
         rows = rows.join(of, F.col(name) == F.col("copy"), "left").withColumn(name, F.coalesce("whole", name)).drop("copy", "whole")
     rows = materialize(rows, "rows")
-    needed = rows.select("id").distinct().withColumnRenamed("id", "want")
-    texts = materialize(docs.join(needed, F.col("id") == F.col("want")).dropDuplicates(["id"]).select("id", "text"), "texts")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The links among the pairs; only texts of plausible ones are read."""
+        near = materialize(plausible(pairs, sizes, num, den), "near")
+        needed = near.select(F.explode(F.array("a", "b")).alias("want")).distinct()
+        texts = materialize(docs.join(needed, F.col("id") == F.col("want")).select("id", "text"), "texts")
+        out = materialize(verify(near, texts, k, num, den), "links")
+        discard(near, texts)
+        return out
 
     tested = materialize(rows.filter("lead <> id").select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct(), "tested")
-    links = copies.unionByName(materialize(verify(tested, texts, k, num, den), "links"))
+    links = copies.unionByName(linked(tested))
     found = materialize(components(links), "components")
     labelled = rows.select("key", "id").join(found, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     labelled = materialize(labelled.distinct(), "labelled")
@@ -362,11 +414,16 @@ def link(df: DataFrame, doc: str = "doc_id", text: str = "text", k: int = 4, num
         few = rows.filter(F.col("n") <= FEW)
         met = few.join(few.select(F.col("key").alias("k"), F.col("id").alias("other"), F.col("component").alias("c")), (F.col("key") == F.col("k")) & (F.col("id") < F.col("other")) & (F.col("component") != F.col("c")))
         fresh = met.select(F.col("id").alias("a"), F.col("other").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        links = links.unionByName(materialize(verify(materialize(fresh, "fresh"), texts, k, num, den), "links"))
-        links = links.unionByName(_families(rows.filter(F.col("n") > FEW).select("key", "id"), texts, k, num, den))
+        links = links.unionByName(linked(materialize(fresh, "fresh")))
+        links = links.unionByName(_families(rows.filter(F.col("n") > FEW).select("key", "id"), docs, k, num, den))
         found = materialize(components(links), "components")
-    out = sizes.join(found, F.col("id") == F.col("node"), "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    own = F.coalesce("component", "row")
+    out = sizes.select("id", "row", "n").join(found, F.col("row") == F.col("node"), "left")
+    # a component's smallest number is its smallest id, unless numbers are of their own
+    if out.filter("row IS DISTINCT FROM id").isEmpty():
+        return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"))
+    least = materialize(out.groupBy(own.alias("of")).agg(F.min("id").alias("least")), "least")
+    return out.join(least, own == F.col("of")).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

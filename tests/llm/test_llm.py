@@ -114,12 +114,26 @@ def test_jaccard_near_family(spark, monkeypatch):
 
 
 def test_jaccard_awkward(spark, awkward, empty):
-    got = linked(jaccard.link(awkward))
-    assert got == brute_components([(i, t) for i, t in dict(reversed([x for x in AWKWARD if x[0] is not None])).items()])
-    assert {r.component_id for r in jaccard.link(awkward).filter("doc_id IS NULL").collect()} == {None}
+    """Rows that repeat an id, or have none, are documents of their own; a component is named by its smallest id."""
+    rows = jaccard.link(awkward).collect()
+    want = brute_components(list(enumerate(t for _, t in AWKWARD)))
+    least = {}
+    for n, (_, of) in want.items():
+        least.setdefault(of, []).append(AWKWARD[n][0])
+    named = [(str(i), want[n][0], str(min((x for x in least[want[n][1]] if x is not None), default=None))) for n, (i, _) in enumerate(AWKWARD)]
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in rows) == sorted(named)
     assert jaccard.link(empty).isEmpty()
 
 
+def test_sketches():
+    r = np.random.default_rng(2)
+    for n, m, both in ((1, 1, 0), (1, 1, 1), (64, 65, 50), (70, 300, 69), (1000, 900, 880), (5, 4000, 0)):
+        own = r.integers(0, 2**64, n + m - both, np.uint64, endpoint=False)
+        a, b = own[:n], own[n - both :]
+        assert jaccard.differ(jaccard.sketch(a), jaccard.sketch(b)) <= n + m - 2 * both
+    assert jaccard.differ(jaccard.sketch(own[:5]), jaccard.sketch(own[:5])) == 0
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (4, 5), (9, 8), (7, 7), (None, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -475,6 +489,23 @@ def test_pipeline_near_duplicates(spark):
     assert want == {1, 3, 5, 6} and {r.doc_id for r in got.collect()} == want
 
 
+def test_pipeline_awkward(spark, sf_dir):
+    """Empty tables, null columns, and rows that share an id go through every stage."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf_dir).isEmpty()
+    text = lambda r, n: " ".join(f"w{x}" for x in r.integers(0, 10**6, n))
+    r = np.random.default_rng(4)
+    a, b, c = text(r, 60), text(r, 60), text(r, 60)
+    rows = [(3, a), (3, b), (None, c), (None, a), (2, c), (None, None), (None, ""), (3, a), (9, None)]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], docs.schema)
+    kept = sorted((str(x.doc_id), str(x.text)) for x in corpus_pipeline.near_duplicates(spark, df, sf_dir).collect())
+    assert kept == sorted([("3", a), ("3", b), ("2", c), ("None", "None"), ("None", ""), ("9", "None")])
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, df, sf_dir).count() <= 2 * len(rows)
+
+
 def test_pipeline_against_brute_force(spark, sf_dir):
     """Each stage against a plain version of it, on what the stage before kept."""
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -501,8 +532,14 @@ def test_pipeline_against_brute_force(spark, sf_dir):
         if text.encode().split():
             texts[r.doc_id] = text
     assert {r.doc_id: r.text for r in cut} == texts
-    assert {r.doc_id for r in single} == {c for _, c in brute_components(list(texts.items())).values()}
+    assert {r.doc_id for r in single} == {c for _, c in brute_components(list(texts.items()), 5, 80, 100).values()}
     assert {r.doc_id for r in mixed} <= {r.doc_id for r in single}
+    # the mix itself is held against SQL; here, what it says of each document takes effect
+    times = {r.doc_id: r.times for r in mixing.mix(spark.createDataFrame(single, docs.schema)).collect()}
+    counted = defaultdict(int)
+    for r in mixed:
+        counted[r.doc_id] += 1
+    assert {i: n for i, n in times.items() if n} == counted
     size = lambda rows: sum(len(r.text.encode().split()) for r in rows)
     assert abs(size(mixed) - 1.5 * size(single)) < 0.2 * size(single)
     path, pattern = bpe.tokenizer_files()
