@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept;
 ``run`` writes what a stage returns and reads it back as the next one's input.
 All stages but the last return the columns of ``documents``.
+
+Every stage gives no rows for an empty table, treats a null text as empty (the first
+rejects it), and takes rows that repeat an id, or have none, as documents of their
+own; ties go as the operators say. The first stage rejects what fails the base test.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.bpe import encode, tokenizer_files
-from siltstone.llm.common import materialize, table
+from siltstone.llm.common import fresh, materialize, table
 from siltstone.llm.jaccard import link
 from siltstone.llm.lines import dedup_lines
 from siltstone.llm.mixing import mix
@@ -30,19 +34,32 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one of smallest id; rows that repeat an id go too.
+    """Of each group of linked documents the one of smallest id (without an id last); all others stay.
 
-    Documents without an id stay.
+    Rows that repeat an id, or have none, are documents of their own; they are
+    numbered then, and written so that their numbers stay the same.
     """
-    others = link(docs, k=5, num=80, den=100).filter("component_id <> doc_id").select(F.col("doc_id").alias("_other")).distinct()
-    named = docs.filter("doc_id IS NOT NULL").join(materialize(others, "others"), F.col("doc_id") == F.col("_other"), "left_anti")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
+    row, other = fresh(docs, "_row", "_other")
+    unique = docs.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1").isEmpty()
+    if unique:
+        named = docs.withColumn(row, F.col("doc_id"))
+    else:
+        named = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "named")
+    linked = link(named, doc=row, k=5, num=80, den=100).select(F.col("doc_id").alias("at"), F.col("component_id").alias("of"))
+    if unique:
+        others = linked.filter("at <> of").select(F.col("at").alias(other))
+    else:
+        members = linked.join(named.select(F.col(row).alias("r"), F.col("doc_id").alias("id")), F.col("at") == F.col("r"))
+        members = materialize(members.select("of", "at", F.struct(F.col("id").isNull(), "id", "at").alias("place")), "members")
+        first = members.groupBy("of").agg(F.min("place").alias("first")).withColumnRenamed("of", "group")
+        others = members.join(first, (F.col("of") == F.col("group")) & ~F.col("place").eqNullSafe(F.col("first"))).select(F.col("at").alias(other))
+    return named.join(materialize(others, "others"), F.col(row) == F.col(other), "left_anti").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: not at all, once or twice."""
-    mixed = mix(docs)
-    return mixed.withColumn("_again", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int")))).select(*docs.columns)
+    (again,) = fresh(docs, "_again")
+    return mix(docs).withColumn(again, F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int")))).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
