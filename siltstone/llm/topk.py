@@ -4,9 +4,10 @@ The table holds every vector's distances to the pivots; it is made once, when th
 rows are packed, and travels with them. For a query q and a vector x the triangle
 inequality gives |q - x| >= max_p |d(q, p) - d(x, p)|, and with it
 q.x = (|q|^2 + |x|^2 - |q - x|^2) / 2 has an upper bound. Rows are packed by their
-nearest pivot, and a run of ``RUN`` rows whose range of distances keeps it below the
-k-th score held is passed over as a whole. The other candidates are evaluated in
-bound order until the next bound is below that score.
+nearest pivot in runs of ``RUN``, whose ranges of distances bound them as a whole.
+For ``ASKED`` queries at once, runs are evaluated in bound order, ``STEP`` at a time,
+until the next bounds are below all k-th scores held; of a step's rows only those
+whose own bound reaches the k-th score of some query are multiplied.
 
 Queries are packed in blocks of ``QUERY_BLOCK`` and the rows in blocks of
 ``ROW_BLOCK``; a row block is sent once for each query block, and a task streams row
@@ -38,13 +39,13 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import map_batches, materialize, shuffle_parts, table
 
 QUERY_BLOCK, ROW_BLOCK = 8192, 4096
-#: Queries that are bounded at once, and rows that are passed over together.
-ASKED, RUN = 512, 128
+#: Queries that are served at once, rows of a run, and runs of a step.
+ASKED, RUN, STEP = 512, 128, 8
 #: Pivots are picked far apart among this many vectors of smallest hashed id.
 PIVOTS, PIVOT_SAMPLE = 16, 2000
-#: Candidates of one query that are evaluated at once.
-STEP = 64
 _LONG = 2**63 - 1
+#: Below every score.
+_NONE = -(2**63)
 
 
 def pick_pivots(x: np.ndarray, n: int) -> np.ndarray:
@@ -64,17 +65,6 @@ def to_pivots(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(sq, 0))
 
 
-def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Exact inner products of the rows of x with q, both integers held as doubles, as longs."""
-    most = x.shape[1] * float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0))
-    if most < 2.0**53:
-        return (x @ q).astype(np.int64)
-    if most < 2.0**62:
-        return x.astype(np.int64) @ q.astype(np.int64)
-    own = [int(v) for v in q]
-    return np.array([max(-_LONG, min(_LONG, sum(int(a) * b for a, b in zip(row, own, strict=True)))) for row in x], np.int64)
-
-
 class Block:
     """Packed rows: ids, vectors, distances to the pivots."""
 
@@ -83,25 +73,33 @@ class Block:
         self.x = np.frombuffer(vectors, kind).reshape(len(self.ids), dim).astype(np.float64)
         self.d = np.frombuffer(near, np.float32).reshape(len(self.ids), -1)
         self.sq = (self.x * self.x).sum(1)
+        self.most = float(np.abs(self.x).max(initial=0))
 
     def __len__(self) -> int:
         return len(self.ids)
 
 
+def products(q: np.ndarray, x: np.ndarray, most: float) -> np.ndarray:
+    """Exact inner products, as longs, of integers held as doubles; ``most`` is the product of the largest of each."""
+    if x.shape[1] * most < 2.0**53:
+        return (q @ x.T).astype(np.int64)
+    if x.shape[1] * most < 2.0**62:
+        return q.astype(np.int64) @ x.astype(np.int64).T
+    whole = np.frompyfunc(int, 1, 1)
+    return np.clip(whole(q) @ whole(x).T, -_LONG, _LONG).astype(np.int64)
+
+
 class Held:
     """The best k of a block of queries so far: scores descending, then ids ascending."""
 
     def __init__(self, asked: Block, k: int):
         self.asked, self.k = asked, k
         self.size = np.zeros(len(asked), np.int64)
-        self.score, self.who = np.zeros((len(asked), k), np.int64), np.zeros((len(asked), k), np.int64)
-
-    def floor(self, at: slice) -> np.ndarray:
-        """The scores that a row must reach."""
-        return np.where(self.size[at] < self.k, -np.inf, self.score[at, -1].astype(np.float64))
+        self.score, self.who = np.full((len(asked), k), _NONE), np.zeros((len(asked), k), np.int64)
 
     def offer(self, rows: Block) -> None:
         starts = np.arange(0, len(rows), RUN)
+        ends = np.append(starts[1:], len(rows))
         least, most, largest = np.minimum.reduceat(rows.d, starts), np.maximum.reduceat(rows.d, starts), np.maximum.reduceat(rows.sq, starts)
         length = np.sqrt(rows.sq.max(initial=0)) + np.sqrt(self.asked.sq.max(initial=0))
         # rounding of distances and of single precision is less than this; no candidate may be lost to it
@@ -111,49 +109,45 @@ class Held:
             d, sq = self.asked.d[at], self.asked.sq[at]
             apart = np.zeros((len(d), len(starts)), np.float32)
             for p in range(d.shape[1]):
-                apart = np.fmax(apart, np.fmax(least[:, p] - d[:, p, None], d[:, p, None] - most[:, p]))
-            live = self._bound(sq, largest, apart, slack) >= self.floor(at)[:, None]
-            some = np.repeat(live.any(0), np.diff(np.append(starts, len(rows))))
-            if not some.any():
-                continue
-            ids, x, near, own = rows.ids[some], rows.x[some], rows.d[some].T, rows.sq[some]
-            low, gap = np.zeros((len(d), len(ids)), np.float32), np.empty((len(d), len(ids)), np.float32)
-            for p in range(d.shape[1]):
-                np.subtract(d[:, p, None], near[p], out=gap)
-                np.fmax(low, np.abs(gap, out=gap), out=low)
-            bound = self._bound(sq, own, low, slack)
-            for i in range(len(d)):
-                self._query(begin + i, ids, x, bound[i])
+                np.maximum(apart, np.maximum(least[:, p] - d[:, p, None], d[:, p, None] - most[:, p]), out=apart)
+            reach = self._bound(sq, largest, apart, slack)
+            todo = np.argsort(-reach.max(0), kind="stable")
+            while len(todo):
+                todo = todo[(reach[:, todo] >= self.score[at, -1, None]).any(0)]
+                step, todo = np.sort(todo[:STEP]), todo[STEP:]
+                if len(step):
+                    self._step(at, rows, np.concatenate([np.arange(starts[r], ends[r]) for r in step]), slack)
+
+    def _step(self, at: slice, rows: Block, own: np.ndarray, slack: float) -> None:
+        d, near, floor = self.asked.d[at], rows.d[own].T.copy(), self.score[at, -1]
+        low, gap = np.zeros((len(d), len(own)), np.float32), np.empty((len(d), len(own)), np.float32)
+        for p in range(d.shape[1]):
+            np.subtract(d[:, p, None], near[p], out=gap)
+            np.maximum(low, np.abs(gap, out=gap), out=low)
+        own = own[(self._bound(self.asked.sq[at], rows.sq[own], low, slack) >= floor[:, None]).any(0)]
+        score = products(self.asked.x[at], rows.x[own], self.asked.most * rows.most)
+        score[self.asked.ids[at, None] == rows.ids[own]] = _NONE
+        if score.shape[1] > self.k:
+            floor = np.maximum(floor, np.partition(score, -self.k, axis=1)[:, -self.k])
+        i, j = np.nonzero((score >= floor[:, None]) & (score > _NONE))
+        cut = np.flatnonzero(np.diff(i)) + 1
+        for a, b in zip([0, *cut], [*cut, len(i)], strict=True):
+            if b > a:
+                self._take(at.start + i[a], rows.ids[own[j[a:b]]], score[i[a], j[a:b]])
 
     @staticmethod
     def _bound(sq: np.ndarray, other: np.ndarray, apart: np.ndarray, slack: float) -> np.ndarray:
         """Upper bounds of scores; what cannot be told in doubles has none."""
         with np.errstate(over="ignore", invalid="ignore"):
             low = np.maximum(apart.astype(np.float64) - slack, 0)
-            bound = (sq[:, None] + other - low**2) / 2 + 1e-6 * (1 + np.abs(other) + sq[:, None])
-        return np.where(np.isfinite(bound), bound, np.inf)
-
-    def _query(self, i: int, ids: np.ndarray, x: np.ndarray, bound: np.ndarray) -> None:
-        q, own = self.asked.x[i], slice(i, i + 1)
-        live = np.flatnonzero((bound >= self.floor(own)[0]) & (ids != self.asked.ids[i]))
-        first = live if len(live) <= STEP else live[np.argpartition(-bound[live], STEP)[:STEP]]
-        self._take(i, ids[first], products(x[first], q))
-        if len(live) <= STEP:
-            return
-        done = np.zeros(len(ids), bool)
-        done[first] = True
-        live = live[~done[live] & (bound[live] >= self.floor(own)[0])]
-        live = live[np.argsort(-bound[live], kind="stable")]
-        start, width = 0, STEP
-        while start < len(live) and bound[live[start]] >= self.floor(own)[0]:
-            some = live[start : start + width]
-            self._take(i, ids[some], products(x[some], q))
-            start, width = start + width, width * 4
+            low *= -low / 2
+            low += (sq * (0.5 + 1e-6) + 1e-6)[:, None]
+            low += other * (0.5 + 1e-6)
+        low[~np.isfinite(low)] = np.inf
+        return low
 
     def _take(self, i: int, ids: np.ndarray, scores: np.ndarray) -> None:
         n = self.size[i]
-        if n == self.k:
-            ids, scores = ids[scores >= self.score[i, -1]], scores[scores >= self.score[i, -1]]
         score, who = np.concatenate([self.score[i, :n], scores]), np.concatenate([self.who[i, :n], ids])
         best = np.lexsort((who, -score))[: self.k]
         self.size[i] = len(best)
