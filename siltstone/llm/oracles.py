@@ -94,15 +94,16 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
 
 _SCORES = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-p AS (SELECT doc_id, i, ws[i] AS v, ws[i - 1] AS u FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w)),
-c1 AS (SELECT v, count(*) AS n FROM p GROUP BY v), d1 AS (SELECT doc_id, v, count(*) AS n FROM p GROUP BY doc_id, v),
-c2 AS (SELECT u, v, count(*) AS n FROM p WHERE i > 1 GROUP BY u, v), d2 AS (SELECT doc_id, u, v, count(*) AS n FROM p WHERE i > 1 GROUP BY doc_id, u, v),
+p AS (SELECT doc_id, i, ws[i] AS v, ws[i - 1] AS u, ws[i - 2] AS t FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w)),
+n AS (SELECT doc_id, i, count(*) OVER (PARTITION BY v) - count(*) OVER (PARTITION BY doc_id, v) AS one,
+  CASE WHEN i > 1 THEN count(*) OVER (PARTITION BY i > 1, u, v) - count(*) OVER (PARTITION BY i > 1, doc_id, u, v) END AS two,
+  CASE WHEN i > 2 THEN count(*) OVER (PARTITION BY i > 2, t, u, v) - count(*) OVER (PARTITION BY i > 2, doc_id, t, u, v) END AS three FROM p),
+c AS (SELECT *, lag(one) OVER d AS one_before, lag(two) OVER d AS two_before FROM n WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
 nd AS (SELECT doc_id, len(ws)::BIGINT AS n_words, sum(len(ws)) OVER () - len(ws) AS rest FROM w),
-x AS (SELECT p.doc_id, p.i, c1.n - d1.n AS own, cu.n - du.n AS ctx, c2.n - d2.n AS two, rest FROM p JOIN nd USING (doc_id)
-  JOIN c1 ON c1.v = p.v JOIN d1 ON d1.doc_id = p.doc_id AND d1.v = p.v
-  LEFT JOIN c1 cu ON p.i > 1 AND cu.v = p.u LEFT JOIN d1 du ON p.i > 1 AND du.doc_id = p.doc_id AND du.v = p.u
-  LEFT JOIN c2 ON p.i > 1 AND c2.u = p.u AND c2.v = p.v LEFT JOIN d2 ON p.i > 1 AND d2.doc_id = p.doc_id AND d2.u = p.u AND d2.v = p.v),
-s AS (SELECT doc_id, CASE WHEN i > 1 AND two > 0 THEN log10(two / ctx) ELSE CASE WHEN own > 0 THEN log10(own / rest) ELSE -log10(rest + 1.0::DOUBLE) END + CASE WHEN i > 1 THEN log10(0.4::DOUBLE) ELSE 0 END END AS s FROM x)
+s AS (SELECT doc_id, CASE WHEN three > 0 AND two_before > 0 THEN log10(three / two_before)
+  WHEN two > 0 AND one_before > 0 THEN log10(two / one_before) + CASE WHEN i > 2 THEN log10(0.4::DOUBLE) ELSE 0 END
+  ELSE CASE WHEN one > 0 THEN log10(one / rest) ELSE -log10(rest + 1.0::DOUBLE) END + least(i - 1, 2) * log10(0.4::DOUBLE) END AS s
+  FROM c JOIN nd USING (doc_id))
 SELECT nd.doc_id, n_words, round(coalesce(sum(s), 0), 6) AS log10_score FROM nd LEFT JOIN s USING (doc_id) GROUP BY nd.doc_id, n_words"""
 
 SQL: dict[str, str] = {
