@@ -87,33 +87,35 @@ _SHAPE = bytes(
     ord("X") if 65 <= b <= 90 else ord("x") if 97 <= b <= 122 or b >= 128 else ord("9") if 48 <= b <= 57 else b for b in range(256)
 )
 _RUNS = re.compile(rb"(.)\1+", re.S)
-#: Words that announce a secret; fixed values.
-_KEYWORDS = frozenset((b"password", b"passwd", b"pwd", b"token", b"secret", b"key", b"apikey", b"api_key", b"auth"))
-_HEADS = frozenset(k[:3] for k in _KEYWORDS)
-_STEM = re.compile(rb"[A-Za-z_]+")
+_QUOTES = (b'"', b"'")
 _CODE = re.compile(rb"[0-9A-Za-z+/_-]{12,}")
 
 
 def features(word: bytes) -> tuple[str, ...]:
-    """Names of a word's features; they depend on its shape, not on its letters."""
+    """Names of a word's features; they depend on its shape alone, and on all of it.
+
+    A shape is told by its first and last runs of equal kinds of characters and by
+    how many runs there are, so that it is of bounded length for any word.
+    """
     core = word.strip(b".,;:!?\"'()[]{}<>")
-    shape = _RUNS.sub(rb"\1", word.translate(_SHAPE))[:10].decode("latin-1")
-    inner = _RUNS.sub(rb"\1", core.translate(_SHAPE))[:10].decode("latin-1")
-    digits = sum(48 <= b <= 57 for b in core)
-    stem = _STEM.match(word)
+    runs, inner = _RUNS.sub(rb"\1", word.translate(_SHAPE)), _RUNS.sub(rb"\1", core.translate(_SHAPE))
+    ends = lambda x: (x if len(x) <= 10 else x[:5] + b"~" + x[-4:]).decode("latin-1")
+    digits = sum(map(core.count, b"0123456789"))
     code = max((m.group() for m in _CODE.finditer(core)), key=len, default=b"")
-    mixed = any(48 <= b <= 57 for b in code) and any(b >= 65 for b in code)
+    letters, numbers = any(b >= 65 for b in code), any(48 <= b <= 57 for b in code)
     return (
-        f"shape {shape}",
-        f"inner {inner}",
+        f"shape {ends(runs)}",
+        f"inner {ends(inner)}",
+        f"runs {np.searchsorted([2, 3, 4, 6, 8, 12, 20], len(inner), 'right')}",
         f"digits {np.searchsorted([1, 2, 4, 5, 9, 13, 20], digits, 'right')}",
         f"length {np.searchsorted([2, 4, 9, 16, 31], len(core), 'right')}",
         f"at {b'@' in core}",
         f"sign {word in (b'=', b':', b':=')}",
+        f"ends in sign {word[-1:] in (b'=', b':')}",
         f"sets {b'=' in core or b':' in core[:-1]}",
+        f"quoted {word[:1] in _QUOTES} {word.rstrip(b'.,;')[-1:] in _QUOTES}",
         f"dots {min(core.count(b'.'), 4)}",
-        f"keyword {bool(stem) and stem.group().lower() in _KEYWORDS}",
-        f"code {min(len(code) // 6, 6) if mixed else 0}",
+        f"code {min(len(code) // 6, 6) if letters and numbers else 0}",
     )
 
 
@@ -145,13 +147,13 @@ def labelled_examples(n: int = 700, seed: int = 11) -> tuple[tuple[tuple[str, ..
             return r.choice(([(whole + end, kind)], [("-".join((whole[:4], whole[4:8], whole[8:12], whole[12:])), kind)], [(whole[i : i + 4], kind) for i in (0, 4, 8, 12)]))
         if kind == "phone":
             return r.choice(([(f"+{num(1)}", kind), (f"({num(3)})", kind), (f"{num(3)}-{num(4)}{end}", kind)], [(f"+{num(11)}{end}", kind)], [(f"+{num(2)}", kind), (num(3), kind), (num(7), kind)]))
-        name, q = r.choice(sorted(_KEYWORDS)).decode(), r.choice(("", '"', "'"))
+        name, q = r.choice((plain(), f"{plain()}_{plain()}", plain().upper())), r.choice(("", '"', "'"))
         return r.choice(([(f"{name}={q}{code()}{q}{end}", kind)], [(name, "outside"), (r.choice("=:"), "outside"), (f"{q}{code()}{q}{end}", kind)], [(f"{name}:", "outside"), (f"{q}{code()}{q}", kind)]))
 
     def lookalike() -> list[tuple[str, str]]:
         return r.choice((
             [(num(r.choice((1, 2, 3, 4, 4, 5, 6, 8, 10))) + r.choice(("", ".", ",")), "outside")], [(f"{num(1)}.{num(2)}", "outside")], [(f"{num(4)}-{num(2)}-{num(2)}", "outside")],
-            [(r.choice(sorted(_KEYWORDS)).decode(), "outside")], [("=", "outside")], [("|", "outside")], [(f"{plain()}={num(1)}", "outside")], [(f"{plain()}:{plain()}", "outside")],
+            [(plain(), "outside"), (r.choice("=:"), "outside"), (f'"{plain()}"', "outside")], [("=", "outside")], [(f'{plain()}="{plain()}"', "outside")], [("|", "outside")], [(f"{plain()}={num(1)}", "outside")], [(f"{plain()}:{plain()}", "outside")],
             [(f"{num(1)}.{num(1)}.{num(1)}", "outside")], [(f"({num(4)})", "outside")], [(f"+{num(1)}", "outside")], [(f"{num(2)}:{num(2)}:{num(2)}", "outside")], [(f"{num(2)}%", "outside")],
             [(plain() + plain() + plain() + plain(), "outside")], [(f"#{num(3)}", "outside")], [(f"@{plain()}", "outside")], [("//", "outside"), (f"{plain()}({plain()});", "outside")], [(f"{plain()}-{num(3)}", "outside")],
             [(f"http://{plain()}.{plain()}/{plain()}", "outside")],
@@ -277,7 +279,7 @@ class Tagger:
         fresh, known = [], self.by_shape
         for w in words:
             shape = w.translate(_SHAPE)
-            alone = b"9" in shape or w[:3].lower() in _HEADS  # else the shape says all
+            alone = b"9" in shape  # else the shape says all
             fs = features(w) if alone else known.get(shape) or known.setdefault(shape, features(w))
             c = self.classes.get(fs)
             if c is None:
