@@ -261,7 +261,8 @@ def test_top_k_awkward(spark, monkeypatch, rows_at_once, queries_at_once):
     monkeypatch.setattr(topk, "ROW_BLOCK", rows_at_once)
     monkeypatch.setattr(topk, "QUERY_BLOCK", queries_at_once)
     monkeypatch.setattr(topk, "RUN", 3)
-    monkeypatch.setattr(topk, "STEP", 3)
+    monkeypatch.setattr(topk, "STEP", 2)
+    monkeypatch.setattr(topk, "ASKED", 2)
     r = np.random.default_rng(1)
     rows = [(i, [float(x) for x in r.normal(size=5).round(1)]) for i in range(60)]
     rows += [(100, None), (101, [1.0, None, 0.0, 0.0, 0.0]), (102, [float("nan")] * 5), (104, [1.0]), (105, [2.0]), (106, []), (120, [0.5] * 5), (121, [0.5] * 5), (None, [9.0] * 5)]
@@ -284,9 +285,18 @@ def test_scores_awkward(awkward, empty):
     assert lm.score(empty).isEmpty()
 
 
-@pytest.mark.parametrize("order", [1, 3])
-def test_scores_order(spark, order):
-    docs = [(1, "a b c a b"), (2, "a b c d"), (3, "b c")]
+def test_scores_identical_rows(spark, monkeypatch):
+    """A table of one row, over and over, over many chunks, and rows without an id."""
+    monkeypatch.setattr(lm, "CHUNK", 60)
+    for i in (7, None):
+        rows = lm.score(spark.createDataFrame([(i, "a b c d")] * 40, "doc_id long, text string")).collect()
+        assert len(rows) == 40 and {round(r.log10_score, 9) for r in rows} == {round(np.log10(1 / 4) + np.log10(0.4 ** 0), 9)}
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_scores_order(spark, monkeypatch, order):
+    monkeypatch.setattr(lm, "CHUNK", 8)
+    docs = [(1, "a b c a b"), (2, "a b c d"), (3, "b c"), (4, ""), (5, "x a b c a y d c b a")]
     got = {r.doc_id: r.log10_score for r in lm.score(spark.createDataFrame(docs, "doc_id long, text string"), order=order).collect()}
     for i, t in docs:
         w, rest = t.split(), [x.split() for j, x in docs if j != i]
@@ -394,6 +404,42 @@ def test_field_on_held_out_rows():
     assert right / total > 0.98
 
 
+def test_field_on_documents():
+    """Secrets of the documents are found, and next to nothing else is added."""
+    secret = re.compile(r'(?i)token = "([0-9a-f]{40})"')
+    tagger = pii.Tagger(pii._trained(pii.labelled_examples()))
+    texts = [t or "" for _, t in documents("/root/testdata/sf0.1")]
+    wanted = found = other = 0
+    for text, hits in zip(texts, tagger.tag([t.encode().split() for t in texts]), strict=True):
+        want = {m.span(1) for m in secret.finditer(text)}
+        got = {(a, b) for a, _, b in pii.field_spans(text, hits, pii.base_spans(text))}
+        wanted, found, other = wanted + len(want), found + len(want & got), other + len(got - want)
+    assert wanted > 100 and found >= 0.95 * wanted and other <= 0.05 * wanted
+
+
+def test_personal_data_query(spark, sf_dir):
+    """Counts, digest and spans of the query; base spans by plain patterns, all spans hold them."""
+    text = dict(documents(sf_dir))
+    for r in QUERIES["op8_personal_data"](spark, sf_dir).collect():
+        base = plain_spans(text[r.doc_id] or "")
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == n for _, k, _ in base) for n in range(4)]
+        names = [f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in base]
+        assert r.base_sha256 == hashlib.sha256(",".join(names).encode()).hexdigest()
+        spans = [x.split(":") for x in r.spans.split(",") if x]
+        assert set(names) <= {":".join(x) for x in spans} and spans == sorted(spans, key=lambda x: (int(x[1]), pii.KINDS.index(x[0])))
+
+
+def test_bpe_query(spark, sf_dir):
+    import tiktoken
+
+    path, pattern = bpe.tokenizer_files()
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks={t: i for i, t in bpe.read_vocabulary(path).tokens.items()}, special_tokens={})
+    text = dict(documents(sf_dir))
+    for r in QUERIES["op9_byte_bpe"](spark, sf_dir).collect():
+        ids = np.array(library.encode_ordinary(text[r.doc_id] or ""), "<u4")
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((text[r.doc_id] or "").encode()).hexdigest())
+
+
 def test_personal_data_awkward(spark, awkward, empty):
     rows = pii.find_personal_data(awkward, pii.labelled_table(spark)).collect()
     assert len(rows) == len(AWKWARD) and all(r.base_spans == [] for r in rows)
