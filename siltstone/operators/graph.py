@@ -15,8 +15,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.sources.scratch import written
+
 #: Vectors in a shard, degree, list sizes of build and search, pruning factor, most candidates, beam; usual defaults.
 SHARD, DEGREE, BUILD_LIST, SEARCH_LIST, ALPHA, CANDIDATES, BEAM = 20_000, 64, 100, 100, 1.2, 500, 4
+LEAST = 256
 #: How far a list of reverse links may grow before it is pruned again.
 SLACK = 1.3
 
@@ -25,32 +28,33 @@ def robust_prune(x: np.ndarray, node: int, candidates: np.ndarray, degree: int,
     """Neighbours of a node, few in each direction.
 
     Rounds of a growing factor take candidates, nearest first, unless one taken
-    before is nearer to them by more than the factor (on squared distances). A copy
-    of a taken one is dropped for good. With a factor above 1 the nearest left over
-    fill the degree.
+    before is nearer to them by more than the factor (on squared distances); one that
+    a nearer candidate shades by ``alpha`` or more, or that is a copy of one, is out
+    of all rounds. With a factor above 1 the nearest left over, copies too, fill the
+    degree.
     """
     own = np.unique(candidates[candidates != node])
     d = ((x[own] - x[node]) ** 2).sum(1)
     order = np.lexsort((own, d))[:most]
     own, d = own[order], d[order]
     shade, taken = np.zeros(len(own)), []
-    gone = np.zeros(len(own), bool)
     factor = 1.0
-    while factor <= alpha + 1e-9 and len(taken) < degree:
+    while factor <= alpha + 1e-6 and len(taken) < degree:
         for i in range(len(own)):
             if len(taken) >= degree:
                 break
-            if gone[i] or shade[i] > factor:
+            if shade[i] > factor:
                 continue
             taken.append(i)
-            gone[i] = True
-            between = ((x[own] - x[own[i]]) ** 2).sum(1)
-            gone |= between == 0
-            with np.errstate(divide="ignore", invalid="ignore"):
-                shade = np.where(gone, shade, np.maximum(shade, d / between))
+            shade[i] = np.inf
+            later = i + 1 + np.flatnonzero(shade[i + 1 :] < alpha)
+            between = ((x[own[later]] - x[own[i]]) ** 2).sum(1)
+            ratio = np.divide(d[later], between, out=np.full(len(later), np.inf), where=between > 0)
+            shade[later] = np.maximum(shade[later], ratio)
         factor *= 1.2
     if alpha > 1:
-        taken += [i for i in range(len(own)) if not gone[i]][: degree - len(taken)]
+        have = set(taken)
+        taken += [i for i in range(len(own)) if i not in have][: degree - len(taken)]
     return own[taken].tolist()
 
 
@@ -95,9 +99,16 @@ def vamana(x: np.ndarray, degree: int, size: int, alpha: float, seed: int = 42)
     return [robust_prune(x, i, np.array(own), degree, alpha) if len(own) > degree else own for i, own in enumerate(links)], start
 
 
-def build(base: DataFrame, degree: int = DEGREE, size: int = BUILD_LIST, alpha: float = ALPHA, shard: int = SHARD) -> DataFrame:
-    """(shard, id, v, nbrs, is_start) from (id, v); neighbours are of the same shard."""
-    shards = max(1, -(-base.count() // shard))
+def build(base: DataFrame, degree: int = DEGREE, size: int = BUILD_LIST, alpha: float = ALPHA, shard: int | None = None) -> DataFrame:
+    """(shard, id, v, nbrs, is_start) from (id, v); neighbours are of the same shard.
+
+    A shard holds ``SHARD`` vectors at most, fewer where that keeps all cores at
+    work, but not below ``LEAST``.
+    """
+    n = base.count()
+    if shard is None:
+        shard = min(SHARD, max(LEAST, -(-n // base.sparkSession.sparkContext.defaultParallelism)))
+    shards = max(1, -(-n // shard))
 
     def make(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
@@ -133,11 +144,17 @@ def beam(x: np.ndarray, links: list[np.ndarray], steer: np.ndarray, q: np.ndarra
     return sorted((d, i) for i, d in exact.items())[:k]
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 10, size: int = SEARCH_LIST, width: int = BEAM, probes: int = 1, codes: int = 256, chunks: int = 16) -> DataFrame:
+def search(
+    index: DataFrame, queries: DataFrame, k: int = 10, size: int = SEARCH_LIST, width: int = BEAM, probes: int = 1, codes: int = 256, chunks: int = 16,
+    codebook: DataFrame | None = None, coded: DataFrame | None = None, center: DataFrame | None = None, entries: DataFrame | None = None,
+) -> DataFrame:
     """(qid, rank, id, dist): beam search of every shard, steered by product-quantized distances, merged.
 
-    Queries (id, v) are dealt to all shards in blocks; a shard and a block are in
-    one task's memory.
+    With ``codebook`` (chunk, code, w), ``center`` (c) and ``coded`` (id, codes) the
+    stored codes steer, else each shard fits a small codebook of its own. ``entries``
+    (id) are further starts, the shard's own start comes first; they are dealt over
+    the probes. Queries (id, v) are dealt to all shards in blocks; a shard and a
+    block are in one task's memory.
     """
     from siltstone.functions.vectors import chunk_offsets
 
@@ -146,7 +163,35 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, size: int = SEARCH
     blocks = max(1, -(-queries.count() // per_block))
     asked = queries.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.col("id").alias("qid"), F.col("v").cast("array<float>").alias("qv"))
     asked = asked.join(F.broadcast(shards)).toDF("for_block", "qid", "qv", "for_shard")
+    if coded is not None:
+        index = index.join(coded.select("id", "codes"), "id")
+    if entries is not None:
+        own = entries.select(F.col("id").alias("entry")).distinct()
+        index = index.join(own, F.col("id") == F.col("entry"), "left").withColumn("is_start", F.col("is_start") | F.col("entry").isNotNull()).drop("entry")
     fan = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("block", F.col("block").cast("long"))
+    stored = None
+    if codebook is not None:  # 256 rows a chunk at most
+        rows = codebook.orderBy("chunk", "code").collect()
+        books = [np.array([r.w for r in rows if r.chunk == c]) for c in sorted({r.chunk for r in rows})]
+        stored = index.sparkSession.sparkContext.broadcast((books, np.array(center.first().c)))
+
+    def fitted(x: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        at = chunk_offsets(x.shape[1], min(chunks, x.shape[1]))
+        mean = x.mean(0)
+        r = np.random.default_rng(42)
+        books, code = [], []
+        for a, b in zip(at, at[1:], strict=False):
+            part = x[:, a:b] - mean[a:b]
+            c = part[r.choice(len(x), min(codes, len(x)), replace=False)]
+            for _ in range(4):
+                near = ((c**2).sum(1) - 2 * part @ c.T).argmin(1)
+                n = np.bincount(near, minlength=len(c))
+                sums = np.zeros_like(c)
+                np.add.at(sums, near, part)
+                c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c)
+            books.append(c)
+            code.append(((c**2).sum(1) - 2 * part @ c.T).argmin(1))
+        return books, mean, np.stack(code, 1)
 
     def run(own: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int, float]] = []
@@ -155,25 +200,12 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, size: int = SEARCH
             x, ids = np.stack(own["v"].to_list()).astype(np.float64), own["id"].to_numpy()
             links = [np.searchsorted(ids, n).tolist() for n in own["nbrs"]]
             starts = np.flatnonzero(own["is_start"].to_numpy()).tolist() or [0]
-            at = chunk_offsets(x.shape[1], min(chunks, x.shape[1]))
-            mean = x.mean(0)
-            r = np.random.default_rng(42)
-            books, code = [], []
-            for a, b in zip(at, at[1:], strict=False):
-                part = x[:, a:b] - mean[a:b]
-                c = part[r.choice(len(x), min(codes, len(x)), replace=False)]
-                for _ in range(4):
-                    near = ((c**2).sum(1) - 2 * part @ c.T).argmin(1)
-                    n = np.bincount(near, minlength=len(c))
-                    sums = np.zeros_like(c)
-                    np.add.at(sums, near, part)
-                    c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c)
-                books.append(c)
-                code.append(((c**2).sum(1) - 2 * part @ c.T).argmin(1))
+            books, mean, code = (*stored.value, np.stack(own["codes"].to_list())) if stored else fitted(x)
+            at = np.cumsum([0, *(b.shape[1] for b in books)])
             for qid, qv in zip(ask["qid"], ask["qv"], strict=True):
-                q = np.asarray(qv, np.float64)
-                steer = sum((((q[a:b] - mean[a:b]) - c) ** 2).sum(1)[k_] for (a, b), c, k_ in zip(zip(at, at[1:], strict=False), books, code, strict=True))
-                out += [(qid, int(ids[i]), d) for d, i in beam(x, links, steer, q, starts, k, size, width, probes)]
+                q = np.asarray(qv, np.float64) - mean
+                steer = sum(((q[a : a + c.shape[1]] - c) ** 2).sum(1)[code[:, i]] for i, (a, c) in enumerate(zip(at, books, strict=False)))
+                out += [(qid, int(ids[i]), d) for d, i in beam(x, links, steer, np.asarray(qv, np.float64), starts, k, size, width, probes)]
         return pd.DataFrame(out, columns=["qid", "id", "dist"]).astype({"qid": "int64", "id": "int64", "dist": "float64"})
 
     found = fan.groupBy("shard", "block").cogroup(asked.groupBy("for_shard", "for_block")).applyInPandas(run, "qid long, id long, dist double")
@@ -199,17 +231,14 @@ def prune_table(base: DataFrame, candidates: DataFrame, degree: int, alpha: floa
 def bfs_levels(edges: DataFrame, start: DataFrame, most: int = 64) -> DataFrame:
     """(id, level) of the nodes that (src, dst) edges reach from (id), level by level.
 
-    Each round joins only the newest level and drops what is known; lineage is cut
-    where the session has a shared folder for it.
+    Each round joins only the newest level, drops what is known, and is written to
+    the shared folder.
     """
-    spark = edges.sparkSession
-    cut = spark.conf.get("spark.checkpoint.dir", None) is not None
     known = start.select("id", F.lit(0).alias("level"))
     front = known
     for level in range(1, most + 1):
         step = edges.join(front.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
-        front = step.join(known.select("id"), "id", "left_anti").withColumn("level", F.lit(level))
-        front = front.checkpoint() if cut else front.persist()
+        front = written(step.join(known.select("id"), "id", "left_anti").withColumn("level", F.lit(level)), "level")
         if front.isEmpty():
             break
         known = known.unionByName(front)
@@ -237,10 +266,14 @@ def entry_points(base: DataFrame, levels: DataFrame, n: int) -> DataFrame:
     return near.coalesce(1).mapInPandas(pick, "nth int, id long")
 
 
-def reorder(levels: DataFrame, base: DataFrame) -> DataFrame:
-    """(id, place): nodes by level, unreached ones last, by id; ids stay, the place only sorts files."""
+def reorder(levels: DataFrame, base: DataFrame, width: int = 65536) -> DataFrame:
+    """(id, place): nodes by level, unreached ones last, by id; ids stay, the place only sorts files.
+
+    Nodes are numbered within ranges of ids of a level; only the ranges' counts meet.
+    """
     every = base.select("id").join(levels, "id", "left").withColumn("level", F.coalesce("level", F.lit(1 << 30)))
-    sums = Window.orderBy("level").rowsBetween(Window.unboundedPreceding, -1)
-    before = every.groupBy("level").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(sums), F.lit(0))).drop("n")
-    within = Window.partitionBy("level").orderBy("id")
-    return every.withColumn("nth", F.row_number().over(within)).join(before, "level").select("id", (F.col("before") + F.col("nth") - 1).alias("place"))
+    every = every.withColumn("part", F.floor(F.col("id") / width))
+    sums = Window.orderBy("level", "part").rowsBetween(Window.unboundedPreceding, -1)
+    before = every.groupBy("level", "part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(sums), F.lit(0))).drop("n")
+    within = Window.partitionBy("level", "part").orderBy("id")
+    return every.withColumn("nth", F.row_number().over(within)).join(before, ["level", "part"]).select("id", (F.col("before") + F.col("nth") - 1).alias("place"))
