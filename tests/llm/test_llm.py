@@ -324,7 +324,7 @@ def test_passages(spark, sf_dir, awkward, empty):
     for i, w in words.items():
         for j in range(len(w) - 50):
             g = tuple(w[j : j + 51])
-            if len(set(g)) > 25 and first.setdefault(g, i) != i:
+            if first.setdefault(g, i) != i:
                 repeats |= {i, first[g]}
     assert repeats <= {r.doc_id for r in found}
     assert all(0 <= r.start_word < r.end_word <= len(words[r.doc_id]) and r.end_word - r.start_word >= 50 for r in found)
@@ -358,11 +358,72 @@ def test_passages_beyond_leads(spark, monkeypatch, few):
     assert [(a, b) for a, b in wanted if a not in got or got.get(a) != got.get(b)] == []
 
 
+def test_passages_behind_pieces(spark):
+    """A passage that two texts share, where parts of it stand in sixty texts of smaller ids."""
+    r = np.random.default_rng(3)
+    prose = lambda n: [f"w{x}" for x in r.integers(0, 10**9, n)]
+    passage = prose(60)
+    docs = [prose(30) + passage[(a := int(r.integers(0, 26))) : a + 35] + prose(30) for _ in range(60)] + [prose(50) + passage + prose(50) for _ in range(2)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    got = {x.doc_id: (x.start_word, x.end_word, x.class_id) for x in passages.near_passages(df).collect()}
+    assert set(got) == {60, 61} and all(50 <= a + 1 and b <= 111 and b - a >= 60 and c == 60 for a, b, c in got.values())
+
+
+def test_passages_recall(spark):
+    """Near copies of 0.8 and more among other texts: nine tenths of all pairs are found, and nothing that is not one."""
+    r = np.random.default_rng(8)
+    prose = lambda n: [f"w{x}" for x in r.integers(0, 3000, n)]
+    docs, pairs = [], []
+    for _ in range(120):
+        passage = prose(int(r.integers(55, 200)))
+        other = list(passage)
+        for at in r.choice(len(other), len(other) // 60, replace=False):
+            other[at] = f"z{at}"
+        pairs.append((len(docs), len(docs) + 1))
+        docs += [prose(40) + passage + prose(20), prose(10) + other + prose(70)]
+    docs += [prose(150) for _ in range(50)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    got = {x.doc_id: x.class_id for x in passages.near_passages(df).collect()}
+    found = sum(a in got and got.get(a) == got.get(b) for a, b in pairs)
+    assert found >= 0.9 * len(pairs) and set(got) <= {i for p in pairs for i in p}
+
+
+def test_passages_repetitive(spark):
+    """Texts that repeat few words over and over are found and do not hang."""
+    docs = [(1, "a b " * 60), (2, "x y z " + "a b " * 60), (3, "the " * 30000), (4, "The " * 200), (5, "q " * 10), (None, "a b " * 60), (5, "the " * 300 + "end"), (6, None), (7, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = passages.near_passages(df).collect()
+    assert {(x.doc_id, x.class_id) for x in rows} >= {(1, 1), (None, 1), (3, 3), (4, 3), (5, 3)}
+
+
+def test_inserted_sentence():
+    """49 words, 13 of another sentence, 49 words: 90 of 111 shingles are common."""
+    r = np.random.default_rng(1)
+    w = r.integers(0, 2**63, 98).astype(np.uint64)
+    other = np.concatenate([w[:49], r.integers(0, 2**63, 13).astype(np.uint64), w[49:]])
+    shingle = lambda x: passages.shingle_hashes(x, 5)
+    assert passages.matches(shingle(w), shingle(other), 46) == [(0, 94, 0, 107)]
+
+
+def test_agreeing(spark):
+    r = np.random.default_rng(6)
+    rows = [(int(a), int(b), int(t), int(lo), int(lo + n)) for a, b, t, lo, n in zip(r.integers(0, 4, 300), r.integers(4, 9, 300), r.integers(0, 8, 300), r.integers(0, 60, 300) * 10, r.integers(0, 10, 300), strict=True)]
+    rows = list({(a, b, t, lo): (a, b, t, lo, hi) for a, b, t, lo, hi in rows}.values())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    got = {(x.a, x.b) for x in passages.agreeing(spark.createDataFrame(rows, "a long, b long, t int, lo long, hi long"), 3).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {(a, b) for a, b, _, lo, _ in rows if sum((a, b) == (c, d) and x <= lo <= y for c, d, _, x, y in rows) >= 3}
+    assert got == want
+
+
 def test_compact_windows():
     h = np.random.default_rng(0).permutation(200).astype(np.uint64)
-    got = set(passages.windows(h, 20))
-    want = {int(a + h[a : a + 20].argmin()) for a in range(181)}
-    assert want <= got and len(got) < 40
+    c, a, b = passages.windows(h, 20)
+    want = {int(x + h[x : x + 20].argmin()) for x in range(181)}
+    assert want <= set(c.tolist()) and len(c) < 40
+    assert all(h[x : y + 1].min() == h[n] and x <= n <= y and y - x >= 19 for n, x, y in zip(c, a, b, strict=True))
+    n, _, _ = passages.windows(np.zeros(100_000, np.uint64), 46)
+    assert len(n) > 1000
 
 
 # --- 8 ---
