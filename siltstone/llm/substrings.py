@@ -17,11 +17,13 @@ copies). All strings of one anchor form a group. Three sorts decide:
 3. where that does not, string by string, with one group of each repeated content
    of sort 2 that shares its bytes of sort 1 as partner.
 
-Equality is that of two 64-bit polynomial hashes.
+Equality is that of three polynomial hashes, of 64 + 31 + 31 bits, of which 96 are
+compared. The two modulo primes hold where the one modulo 2^64 is weak by its
+algebra, as on strings that double and complement themselves.
 
 Defined results: a null text counts as empty; texts shorter than ``length`` keep
-all bytes; a row without an id takes no part and keeps its text; rows that repeat
-an id must repeat its text, and count as one document; an empty table gives no rows.
+all bytes; rows that repeat an id, or have none, are documents of their own; an empty
+table gives no rows; other columns are dropped.
 """
 
 from __future__ import annotations
@@ -34,38 +36,39 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import bounded_batches, materialize, mix64, table
+from siltstone.llm.common import bounded_batches, materialize, mix64, numbered, table
 from siltstone.llm.runs import SCHEMA, led, parts_for, shared
 
 #: Bytes of a trigger; one place in ``EVERY`` is one.
 WINDOW, EVERY = 12, 48
 #: Added to the places of free strings, which are no triggers.
 FREE = 1 << 40
-#: Odd multipliers of the two hashes and the seeds of their byte values.
-_BASES = ((0x9E3779B97F4A7C15 | 1, 17), (0xC2B2AE3D27D4EB4F | 1, 29))
+#: The hashes: modulus (0 is 2^64), base, seed of the byte values.
+_HASHES = ((0, 0x9E3779B97F4A7C15 | 1, 17), (2**31 - 1, 1_103_515_245, 29), (2**31 - 19, 1_566_083_941, 43))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=3)
 def _values(seed: int) -> np.ndarray:
     return mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(seed))
 
 
 class _Powers:
-    """Powers of a base modulo 2^64, as many as were asked for."""
+    """Powers of a base by a modulus, as many as were asked for."""
 
-    def __init__(self, base: int):
-        self.base, self.own = base, np.ones(1, np.uint64)
+    def __init__(self, modulus: int, base: int):
+        self.modulus, self.base, self.own = modulus, base, np.ones(1, np.uint64)
 
     def __call__(self, n: int) -> np.ndarray:
-        if len(self.own) < n:
-            x = np.full(max(n, 2 * len(self.own)), self.base, np.uint64)
-            x[0] = 1
-            self.own = np.multiply.accumulate(x)
+        while len(self.own) < n:
+            k = len(self.own)
+            step = np.uint64(pow(self.base, k, self.modulus or 1 << 64))
+            more = self.own * step
+            self.own = np.concatenate([self.own, more % np.uint64(self.modulus) if self.modulus else more])
         return self.own[:n]
 
 
-_UP = [_Powers(b) for b, _ in _BASES]
-_DOWN = [_Powers(pow(b, -1, 1 << 64)) for b, _ in _BASES]
+_UP = [_Powers(m, b) for m, b, _ in _HASHES]
+_DOWN = [_Powers(m, pow(b, -1, m or 1 << 64)) for m, b, _ in _HASHES]
 
 
 class Parse:
@@ -76,11 +79,7 @@ class Parse:
         n = self.n = len(data)
         self.length, self.reach = length, length * 7 // 10
         self.inner = length - self.reach
-        self.sums = []
-        for up, (_, seed) in zip(_UP, _BASES, strict=True):
-            s = np.zeros(n + 1, np.uint64)
-            np.cumsum(_values(seed)[self.data] * up(n), out=s[1:])
-            self.sums.append(s)
+        self.sums = [self._sums(0)]
         w, every = min(WINDOW, self.inner), max(2, EVERY * length // 400)
         last = n - w
         if last >= 0:
@@ -93,10 +92,26 @@ class Parse:
         self.low = np.maximum(before + 1, t - self.reach)
         self.high = np.minimum(t, n - length)
 
+    def _sums(self, i: int) -> np.ndarray:
+        """Sums of the bytes' values times powers, from the text's start to each place."""
+        modulus, _, seed = _HASHES[i]
+        values = _values(seed)
+        x = (values % np.uint64(modulus) if modulus else values)[self.data] * _UP[i](self.n)
+        out = np.zeros(self.n + 1, np.uint64)
+        np.cumsum(x % np.uint64(modulus) if modulus else x, out=out[1:])
+        return out
+
     def hashes(self, start: np.ndarray, end: np.ndarray, tag: int) -> tuple[np.ndarray, np.ndarray]:
-        """Both hashes of the bytes from start to end; tag and length go in too."""
+        """Two hashes of the bytes from start to end; tag and length go in too."""
+        self.sums += [self._sums(i) for i in range(len(self.sums), len(_HASHES))]
         salt = mix64((end - start).astype(np.uint64) * np.uint64(8) + np.uint64(tag))
-        return tuple(mix64((s[end] - s[start]) * down(self.n + 1)[start] + salt) for s, down in zip(self.sums, _DOWN, strict=True))
+        out = []
+        for (modulus, _, _), s, down in zip(_HASHES, self.sums, _DOWN, strict=True):
+            x = s[end] - s[start]
+            x = (x % np.uint64(modulus) if modulus else x) * down(self.n + 1)[start]
+            out.append(x % np.uint64(modulus) if modulus else x)
+        whole, first, second = out
+        return mix64(mix64(whole + salt) + (first << np.uint64(31) | second)), mix64((second << np.uint64(32) | first) + salt)
 
     def groups(self) -> np.ndarray:
         """Places (in ``triggers``) of the anchors of some string."""
@@ -200,8 +215,8 @@ def remove_repeats(df: DataFrame, doc: str = "doc_id", text: str = "text", lengt
     ``outputs`` are made before texts that nothing is removed from are joined, so
     that a digest travels in place of them.
     """
-    every = df.select(F.col(doc).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    docs = every.filter(F.col("id").isNotNull())
+    every = numbered(df, doc, text).select("id", "row", F.coalesce("text", F.lit("")).alias("text"))
+    docs = every.select(F.col("row").alias("id"), "text")
     size = every.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = parts_for(size / 40 * 400 / length)
     first = materialize(shared(_first_sort(docs, length, parts)).select("key", "id", "place", "until"), "parse")
@@ -209,7 +224,7 @@ def remove_repeats(df: DataFrame, doc: str = "doc_id", text: str = "text", lengt
     free = first.filter(F.col("place") >= FREE).select("id", (F.col("place") - FREE).alias("a"), (F.col("until") - FREE).alias("b"))
 
     listed = first.groupBy("id").agg(F.sort_array(F.collect_set(F.when(F.col("place") < FREE, F.col("place")))).alias("at"))
-    texts = materialize(docs.join(listed.withColumnRenamed("id", "want"), F.col("id") == F.col("want")).dropDuplicates(["id"]).select("id", "text", "at"), "texts")
+    texts = materialize(docs.join(listed.withColumnRenamed("id", "want"), F.col("id") == F.col("want")).select("id", "text", "at"), "texts")
 
     second = shared(_strings_of(texts.filter("size(at) > 0"), length, parts, True))
     second = materialize(second.select("id", F.col("place").alias("at"), F.expr("id = lead_id AND place = lead_place").alias("leads")).distinct(), "groups")
@@ -230,8 +245,8 @@ def remove_repeats(df: DataFrame, doc: str = "doc_id", text: str = "text", lengt
     hit = _removal(hit, length).select(F.col("id").alias("hit_id"), F.col("n_removed").alias("cut"), F.col("n_spans").alias("cuts"), F.struct(*outputs(F.col("kept"))).alias("new"))
 
     whole = F.col("text").cast("binary")
-    same = every.select("id", F.length(whole).cast("long").alias("n_bytes"), F.struct(*outputs(whole)).alias("old"))
-    out = same.join(hit, F.col("id") == F.col("hit_id"), "left")
+    same = every.select("id", "row", F.length(whole).cast("long").alias("n_bytes"), F.struct(*outputs(whole)).alias("old"))
+    out = same.join(hit, F.col("row") == F.col("hit_id"), "left")
     made = F.when(F.col("hit_id").isNotNull(), F.col("new")).otherwise(F.col("old")).alias("made")
     zero = F.lit(0).cast("long")
     return out.select(F.col("id").alias("doc_id"), "n_bytes", F.coalesce("cut", zero).alias("n_removed"), F.coalesce("cuts", zero).alias("n_spans"), made).select("doc_id", "n_bytes", "n_removed", "n_spans", "made.*")

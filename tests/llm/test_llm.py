@@ -577,10 +577,23 @@ def test_removal_small(spark, length):
 
 def test_removal_documents(spark, sf_dir, awkward, empty):
     assert removed(spark.read.parquet(f"{sf_dir}/documents.parquet"), 400) == brute_removal(documents(sf_dir), 400)
-    assert removed(awkward, 400) == brute_removal([x for x in dict(reversed([x for x in AWKWARD if x[0] is not None])).items()], 400)
+    rows = substrings.remove_repeats(awkward, outputs=lambda kept: [F.sha2(kept, 256).alias("k")]).collect()
+    want = brute_removal(list(enumerate(t for _, t in AWKWARD)), 400)
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.k) for r in rows) == sorted((str(i), *want[n]) for n, (i, _) in enumerate(AWKWARD))
     assert removed(empty, 400) == {}
 
 
+def test_removal_of_structured_texts(spark):
+    """Strings that double and complement themselves are not taken for each other; a very long repetitive text is."""
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    for length in (400, 1024):
+        docs = [(1, "x" + word[: length + 100]), (2, "y" + other[: length + 100]), (3, "z" + word[:length]), (4, "ab" * 2000), (5, "q" * 3000 + "r")]
+        assert removed(spark.createDataFrame(docs, "doc_id long, text string"), length) == brute_removal(docs, length)
+
+
 # --- all together ---
 
 
