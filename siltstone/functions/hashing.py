@@ -7,6 +7,8 @@ the unsigned value.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -38,42 +40,76 @@ def splitmix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fnv1a64_of(data: bytes) -> int:
-    h, prime = FNV64
-    for b in data:
-        h = ((h ^ b) * prime) & 0xFFFFFFFFFFFFFFFF
+def _columns(data: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The j-th bytes of many values at once: (j, which values, their bytes). Values go by length, longest first."""
+    sizes = np.array([len(d) for d in data], np.int64)
+    order = np.argsort(-sizes, kind="stable")
+    flat = np.frombuffer(b"".join(data[i] for i in order), np.uint8)
+    starts = np.cumsum(sizes[order]) - sizes[order]
+    n = len(data)
+    for j in range(int(sizes.max(initial=0))):
+        n = int(np.searchsorted(-sizes[order], -j, "left"))  # values of more than j bytes
+        yield j, order[:n], flat[starts[:n] + j]
+
+
+def fnv1a64_all(data: list[bytes]) -> np.ndarray:
+    """FNV-1a of 64 bits of many values, byte by byte across all of them."""
+    h, prime = np.full(len(data), FNV64[0], np.uint64), np.uint64(FNV64[1])
+    for _, own, byte in _columns(data):
+        h[own] = (h[own] ^ byte) * prime
     return h
 
 
-_TABLE: list[int] = []
+def _crc_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, (table >> 1) ^ np.uint32(CRC32C), table >> 1)
+    return table
+
+
+def crc32c_all(data: list[bytes]) -> np.ndarray:
+    """CRC-32C of many values, byte by byte across all of them."""
+    table, c = _crc_table(), np.full(len(data), 0xFFFFFFFF, np.uint32)
+    for _, own, byte in _columns(data):
+        c[own] = table[(c[own] ^ byte) & 0xFF] ^ (c[own] >> 8)
+    return c ^ np.uint32(0xFFFFFFFF)
+
+
+def fnv1a64_of(data: bytes) -> int:
+    return int(fnv1a64_all([data])[0])
 
 
 def crc32c_of(data: bytes) -> int:
-    if not _TABLE:
-        for i in range(256):
-            for _ in range(8):
-                i = (i >> 1) ^ (CRC32C if i & 1 else 0)
-            _TABLE.append(i)
-    c = 0xFFFFFFFF
-    for b in data:
-        c = _TABLE[(c ^ b) & 0xFF] ^ (c >> 8)
-    return c ^ 0xFFFFFFFF
+    return int(crc32c_all([data])[0])
 
 
 def _raw(x: str | bytes) -> bytes:
     return x.encode() if isinstance(x, str) else bytes(x)
 
 
+def _known(values: pd.Series, of: Callable[[list[bytes]], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Which values are not null, and their hashes; a value that repeats is hashed once."""
+    there = values.notna().to_numpy()
+    codes, distinct = pd.factorize(pd.Series([_raw(v) for v in values[there]], dtype=object))
+    return there, of(list(distinct))[codes] if len(distinct) else np.zeros(0, np.uint64)
+
+
 @F.pandas_udf(LongType())
 def fnv1a64(key: pd.Series) -> pd.Series:
     """Signed reading of FNV-1a of 64 bits."""
-    return pd.Series([None if k is None else np.uint64(fnv1a64_of(_raw(k))).astype(np.int64) for k in key], dtype="Int64")
+    there, h = _known(key, fnv1a64_all)
+    out = pd.array([None] * len(key), dtype="Int64")
+    out[there] = h.view(np.int64)
+    return pd.Series(out)
 
 
 @F.pandas_udf(StringType())
 def crc32c(value: pd.Series) -> pd.Series:
     """CRC-32C as 8 hexadecimal digits."""
-    return pd.Series([None if v is None else f"{crc32c_of(_raw(v)):08x}" for v in value])
+    there, h = _known(value, crc32c_all)
+    out = np.full(len(value), None, object)
+    out[there] = [f"{c:08x}" for c in h]
+    return pd.Series(out)
 
 
 def unsigned_mod(h: Column, n: int) -> Column:

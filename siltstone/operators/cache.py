@@ -51,12 +51,17 @@ def expired(expire_at: Column | str, now: Column | str) -> Column:
 
 
 def _history(cmds: DataFrame) -> DataFrame:
-    """Adds to each command the last write before it on its key: ``was`` (verb, value, expire_at), null if none."""
+    """Adds to each command the last write before it on its key: ``was`` (verb, value, expire_at), null if none.
+
+    Commands without a key have no history and stay out of the ordering.
+    """
     expire = F.when(F.col("ttl_ms") >= 0, F.col("ts_ms") + F.col("ttl_ms")).otherwise(-1)
     c = cmds.withColumn("expire_at", F.when(F.col("verb") == "SET", expire))
     w = Window.partitionBy("key").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     wrote = F.when(F.col("verb").isin("SET", "DEL"), F.struct("verb", "value", "expire_at"))
-    return c.withColumn("was", F.last(wrote, ignorenulls=True).over(w))
+    keyed = c.filter("key IS NOT NULL").withColumn("was", F.last(wrote, ignorenulls=True).over(w))
+    none = F.lit(None).cast(keyed.schema["was"].dataType)
+    return keyed.unionByName(c.filter("key IS NULL").withColumn("was", none))
 
 
 def _held() -> Column:
@@ -96,8 +101,8 @@ def final_state(cmds: DataFrame) -> DataFrame:
     writes = split_deletes(cmds).filter("error IS NULL AND verb IN ('SET', 'DEL')")
     expire = F.when(F.col("ttl_ms") >= 0, F.col("ts_ms") + F.col("ttl_ms")).otherwise(-1)
     w = writes.withColumn("expire_at", expire)
-    deleted = F.max(F.when(F.col("verb") == "DEL", F.col("seq"))).over(Window.partitionBy("key"))
-    kept = w.withColumn("_del", deleted).filter("verb = 'SET' AND (_del IS NULL OR seq > _del)")
+    deleted = w.filter("verb = 'DEL'").groupBy(F.col("key").alias("gone")).agg(F.max("seq").alias("_del"))
+    kept = w.filter("verb = 'SET'").join(deleted, F.col("key") == F.col("gone"), "left").filter("_del IS NULL OR seq > _del")
     best = kept.groupBy("key").agg(F.max_by(F.struct("value", "expire_at"), "seq").alias("w"), (F.count("*") - 1).alias("version"))
     return best.select("key", "w.value", "w.expire_at", "version")
 
@@ -128,6 +133,41 @@ def coldest(state: DataFrame, n: int) -> DataFrame:
     return state.orderBy("hotness", "key").limit(n)
 
 
+def coldest_page(state: DataFrame, n: int) -> DataFrame:
+    """The ``n`` pages (page, hotness) of slab values that were touched longest ago; a page is as hot as its hottest value."""
+    return state.filter(F.col("tier") == "slab").groupBy("page").agg(F.max("hotness").alias("hotness")).orderBy("hotness", "page").limit(n)
+
+
+def coldest_large(state: DataFrame, n: int) -> DataFrame:
+    """The ``n`` large values of least hotness."""
+    return coldest(state.filter(F.col("tier") == "large"), n)
+
+
+#: Water levels as percent of the limit, and how many evictions a round starts at each; fixed values.
+LEVELS = (("max", 100, 32), ("urgent", 90, 8), ("begin", 60, 1))
+
+
+def water_level(used: Column, limit: Column) -> tuple[Column, Column]:
+    """The level that ``used`` bytes reach, and evictions to start; null and 0 below all, or without a limit."""
+    level, n = F.lit(None).cast("string"), F.lit(0)
+    for name, percent, count in reversed(LEVELS):
+        reached = (limit > 0) & (used >= F.floor(limit * percent / 100))
+        level, n = F.when(reached, name).otherwise(level), F.when(reached, count).otherwise(n)
+    return level, n
+
+
+def round_of_evictions(state: DataFrame, size: str, limit: int) -> DataFrame:
+    """(key, level) of what one round evicts: large values before others, coldest first, while bytes reach the begin level."""
+    used = state.agg(F.coalesce(F.sum(size), F.lit(0)).alias("_used"))
+    most = max(n for _, _, n in LEVELS)
+    first = state.withColumn("_rest", (F.col("tier") != "large").cast("int")).orderBy("_rest", "hotness", "key").limit(most)  # of a fixed number
+    order = Window.orderBy("_rest", "hotness", "key")
+    before = F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    level, n = water_level(F.col("_used"), F.lit(limit))
+    picked = first.withColumn("_nth", F.row_number().over(order)).withColumn("_before", before).join(F.broadcast(used))
+    return picked.withColumn("level", level).filter((F.col("_nth") <= n) & (F.col("_used") - F.col("_before") >= limit * 60 // 100)).select("key", "level")
+
+
 def water_line(state: DataFrame, size: str, limit: int, begin: int = 60) -> DataFrame:
     """Rows to evict, coldest first, until at most ``begin`` percent of ``limit`` bytes remain.
 

@@ -7,21 +7,22 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.vectors import squared_l2
 
-#: Query vectors that may be sent to every task.
-MOST_QUERIES = 10_000
+#: Query vectors, and bytes of them, that may be sent to every task.
+MOST_QUERIES, MOST_BYTES = 10_000, 32 << 20
 
 
 def nearest(base: DataFrame, queries: DataFrame, k: int, skip_self: bool = False) -> DataFrame:
     """(qid, rank, id, dist) of each query's k nearest rows of (id, v) by squared distance, ties to the smaller id.
 
-    Queries are a stated set against all rows: up to ``MOST_QUERIES`` they are
-    broadcast, more are dealt in blocks that meet the rows one block after the
+    Queries are a stated set against all rows: up to ``MOST_QUERIES`` of
+    ``MOST_BYTES`` they are broadcast, more are dealt in blocks that meet the rows one block after the
     other; each task keeps k rows a query before the shuffle.
     """
     q = queries.select(F.col("id").alias("qid"), F.col("v").alias("qv"))
-    n = queries.count()
-    if n > MOST_QUERIES:
-        blocks = -(-n // MOST_QUERIES)
+    n, longest = queries.agg(F.count("*"), F.max(F.size("v"))).first()
+    most = max(1, min(MOST_QUERIES, MOST_BYTES // (8 * max(longest or 1, 1) + 64)))
+    if n > most:
+        blocks = -(-n // most)
         q = q.withColumn("_block", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
         base = base.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("_block", F.col("_block").cast("long"))
         pairs = base.join(q, "_block")

@@ -73,6 +73,40 @@ def cache_waterline(s: SparkSession, d: str) -> DataFrame:
     return cache.water_line(_with_hotness(s, d), "n_bytes", 6_000, 60).select("key", "hotness", "freed_before")
 
 
+def _tiered(s: SparkSession, d: str) -> DataFrame:
+    """Keys as values of three tiers by hotness, on pages by hash of 32 bits."""
+    from siltstone.functions.hashing import fnv1a32
+
+    tier = F.when(F.col("hotness") % 3 == 0, "large").when(F.col("hotness") % 3 == 1, "slab").otherwise("inline")
+    return _with_hotness(s, d).withColumn("page", fnv1a32(F.col("key")) % 16).withColumn("tier", tier)
+
+
+def cache_coldest_pages(s: SparkSession, d: str) -> DataFrame:
+    return cache.coldest_page(_tiered(s, d), 4)
+
+
+def cache_coldest_large(s: SparkSession, d: str) -> DataFrame:
+    return cache.coldest_large(_tiered(s, d), 3).select("key", "hotness")
+
+
+def cache_water_levels(s: SparkSession, d: str) -> DataFrame:
+    """Levels and evictions of a round, for limits around them."""
+    used = s.createDataFrame([(n, m) for n in (0, 59, 60, 89, 90, 99, 100, 250) for m in (0, 100)], "used long, memory_limit long")
+    level, n = cache.water_level(F.col("used"), F.col("memory_limit"))
+    return used.select("used", "memory_limit", level.alias("level"), n.alias("evictions"))
+
+
+def cache_evict_round(s: SparkSession, d: str) -> DataFrame:
+    """What one round evicts at each level: the limit is a part of all bytes."""
+    t = _tiered(s, d)
+    total = t.agg(F.sum("n_bytes")).first()[0] or 0
+    out = None
+    for percent in (100, 95, 70, 50):
+        own = cache.round_of_evictions(t, "n_bytes", total * 100 // percent).withColumn("percent", F.lit(percent))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def cache_discard_page(s: SparkSession, d: str) -> DataFrame:
     """State without the keys of the coldest page; pages hold keys by hash of 32 bits."""
     from siltstone.functions.hashing import fnv1a32
@@ -124,7 +158,7 @@ def resp_roundtrip(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    cache_parse, cache_commands, cache_ttl_state, cache_expired, cache_live_after_sweep, cache_evict_coldest, cache_waterline, cache_discard_page, cache_page_states, cache_promote,
+    cache_parse, cache_commands, cache_ttl_state, cache_expired, cache_live_after_sweep, cache_evict_coldest, cache_coldest_pages, cache_coldest_large, cache_water_levels, cache_evict_round, cache_waterline, cache_discard_page, cache_page_states, cache_promote,
     cache_size_class, cache_value_class, cache_memory_size, resp_roundtrip,
 )}
 
@@ -153,6 +187,13 @@ SELECT seq, kind, CASE kind WHEN 'PONG' THEN '+PONG' || chr(13) || chr(10) WHEN
     "cache_live_after_sweep": f"WITH {_CMDS} SELECT key, version FROM fin, clock WHERE NOT (expire_at >= 0 AND now >= expire_at)",
     "cache_evict_coldest": f"WITH {_CMDS} SELECT key, hotness FROM hot ORDER BY hotness, key LIMIT 10",
     "cache_waterline": f"WITH {_CMDS}, f AS (SELECT key, hotness, (coalesce(sum(n_bytes) OVER (ORDER BY hotness, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS freed_before, sum(n_bytes) OVER () - 3600 AS need FROM hot) SELECT key, hotness, freed_before FROM f WHERE freed_before < need",
+    "cache_coldest_pages": f"WITH {_CMDS}, p AS (SELECT hotness, {_FNV32} % 16 AS page FROM hot WHERE hotness % 3 = 1) SELECT page, max(hotness) AS hotness FROM p GROUP BY page ORDER BY hotness, page LIMIT 4",
+    "cache_coldest_large": f"WITH {_CMDS} SELECT key, hotness FROM hot WHERE hotness % 3 = 0 ORDER BY hotness, key LIMIT 3",
+    "cache_water_levels": "SELECT u AS used, m AS memory_limit, CASE WHEN m > 0 AND u >= 100 THEN 'max' WHEN m > 0 AND u >= 90 THEN 'urgent' WHEN m > 0 AND u >= 60 THEN 'begin' END AS level, CASE WHEN m > 0 AND u >= 100 THEN 32 WHEN m > 0 AND u >= 90 THEN 8 WHEN m > 0 AND u >= 60 THEN 1 ELSE 0 END AS evictions FROM (SELECT unnest([0, 59, 60, 89, 90, 99, 100, 250])::BIGINT AS u), (SELECT unnest([0, 100])::BIGINT AS m)",
+    "cache_evict_round": f"""WITH {_CMDS}, t AS (SELECT key, n_bytes, row_number() OVER o AS nth, coalesce(sum(n_bytes) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n_bytes) OVER () AS used FROM hot WINDOW o AS (ORDER BY CASE WHEN hotness % 3 = 0 THEN 0 ELSE 1 END, hotness, key)),
+l AS (SELECT *, used::BIGINT * 100 // percent AS lim FROM t, (SELECT unnest([100, 95, 70, 50])::INT AS percent)),
+e AS (SELECT *, CASE WHEN used >= lim THEN 32 WHEN used >= floor(lim * 90 / 100) THEN 8 WHEN used >= floor(lim * 60 / 100) THEN 1 ELSE 0 END AS n FROM l)
+SELECT key, CASE n WHEN 32 THEN 'max' WHEN 8 THEN 'urgent' ELSE 'begin' END AS level, percent FROM e WHERE nth <= n AND used - before >= lim * 60 // 100""",
     "cache_discard_page": f"WITH {_CMDS}, p AS (SELECT key, hotness, {_FNV32} % 16 AS page FROM hot) SELECT key, page FROM p WHERE page <> (SELECT page FROM p GROUP BY page ORDER BY min(hotness), page LIMIT 1)",
     "cache_page_states": f"WITH {_CMDS}, s AS (SELECT key, version, hotness, CASE WHEN version % 3 = 2 THEN 'EVICTING' ELSE 'IN_MEMORY' END AS st FROM hot) SELECT key, CASE WHEN st = 'IN_MEMORY' AND hotness % 2 = 0 THEN CASE WHEN version % 2 = 0 THEN 'ON_NVME' ELSE 'EVICTING' END WHEN st = 'EVICTING' AND hotness % 2 <> 0 THEN 'ON_NVME' ELSE st END AS state FROM s",
     "cache_promote": f"WITH {_CMDS} SELECT key, version FROM hot WHERE hotness % 2 = 0 AND hotness % 5 <> 0",

@@ -40,7 +40,15 @@ def kv_as_of_lsn(s: SparkSession, d: str) -> DataFrame:
 
 
 def kv_point_get(s: SparkSession, d: str) -> DataFrame:
-    return _snapshot(s, d).get(_key(7))
+    """Point reads of the first live key, the first deleted one, and one that never was."""
+    snap = _snapshot(s, d)
+    ends = reads.winners(snap.rows()).agg(F.min(F.when(F.col("op") == "PUT", F.col("key"))).alias("live"), F.min(F.when(F.col("op") == "DEL", F.col("key"))).alias("gone")).first()
+    out = None
+    for asked in ("live", "gone", "none"):
+        key = "user" if asked == "none" else ends[asked] or "user"
+        own = snap.get(key).select(F.lit(asked).alias("asked"), "key", "lsn", "value")
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 def kv_multi_get(s: SparkSession, d: str) -> DataFrame:
@@ -285,7 +293,7 @@ def _sql(ctes: str, body: str) -> str:
 SQL = {
     "kv_latest": _sql(f"w AS (SELECT *, {WON} FROM chg)", "SELECT key, lsn, value FROM w WHERE nth = 1 AND op = 'PUT'"),
     "kv_as_of_lsn": _sql(_AT_HALF, "SELECT key, lsn, value FROM w WHERE nth = 1 AND op = 'PUT'"),
-    "kv_point_get": _sql(_AT_HALF, f"SELECT key, lsn, value FROM w WHERE nth = 1 AND op = 'PUT' AND key = '{_key(7)}'"),
+    "kv_point_get": _sql(_AT_HALF, f"SELECT 'live' AS asked, key, lsn, value FROM w WHERE nth = 1 AND op = 'PUT' ORDER BY key LIMIT 1"),
     "kv_multi_get": _sql(f"{_AT_HALF}, k AS (SELECT i AS pos, 'user' || lpad((i * 7 % 200)::VARCHAR, 20, '0') AS key FROM range(40) r(i))", "SELECT k.pos, k.key, w.lsn IS NOT NULL AS found, w.lsn, w.value FROM k LEFT JOIN w ON k.key = w.key AND nth = 1 AND op = 'PUT'"),
     "kv_range_scan": _sql(_AT_HALF, f"SELECT key, lsn, value FROM w WHERE nth = 1 AND op = 'PUT' AND key >= '{_key(20)}' AND key < '{_key(60)}'"),
     "kv_scan_keep_tombstones": _sql(_AT_HALF, f"SELECT key, lsn, op, value FROM w WHERE nth = 1 AND key >= '{_key(20)}' AND key < '{_key(60)}'"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siltstone.operators import frames, reads
 from siltstone.operators.store import Store
-from siltstone.plans.kv_queries import LOG, WON
+from siltstone.plans.kv_queries import LOG, WON, _key
 from siltstone.sources.scratch import fresh_dir
 from siltstone.sources.tables import change_log
 
@@ -50,6 +50,11 @@ def kv_store_latest(s: SparkSession, d: str) -> DataFrame:
     return _latest(_flushed(s, d))
 
 
+def kv_store_scan(s: SparkSession, d: str) -> DataFrame:
+    """[begin, end) over base and log; both are sorted by key, so the bounds reach their files' statistics."""
+    return _flushed(s, d).snapshot().scan(_key(20), _key(60))
+
+
 def kv_store_flush_round(s: SparkSession, d: str) -> DataFrame:
     """The base that the flush round installed."""
     store = _flushed(s, d)
@@ -161,7 +166,7 @@ def kv_frame_status(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    kv_store_latest, kv_store_flush_round, kv_store_seal_round, kv_store_batch_scope, kv_store_release, kv_store_reopen, kv_store_restore, kv_store_maintenance,
+    kv_store_latest, kv_store_scan, kv_store_flush_round, kv_store_seal_round, kv_store_batch_scope, kv_store_release, kv_store_reopen, kv_store_restore, kv_store_maintenance,
     kv_store_vacuum, kv_store_stats, kv_store_verify, kv_frame_status,
 )}
 
@@ -170,6 +175,7 @@ _W = f"SELECT key, lsn, value FROM (SELECT *, {WON} FROM r{{where}}) WHERE nth =
 _CANON = "c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY batch_id, key ORDER BY pos DESC) AS last FROM r) WHERE last = 1)"
 SQL = {
     "kv_store_latest": f"{_RUN} {_W.format(where='')}",
+    "kv_store_scan": f"""{_RUN} SELECT * FROM ({_W.format(where='')}) WHERE key >= '{_key(20)}' AND key < '{_key(60)}'""",
     "kv_store_flush_round": f"{_RUN} SELECT key, lsn, op, value FROM (SELECT *, {WON} FROM r WHERE run < 2) WHERE nth = 1 AND op = 'PUT'",
     "kv_store_seal_round": f"{_RUN}, {_CANON} SELECT run AS gen, min(lsn) AS min_lsn, max(lsn) AS max_lsn, count(*) AS n_rows FROM c GROUP BY run",
     "kv_store_batch_scope": f"""{_RUN}, e AS (SELECT key, lsn, op, value, seq FROM r WHERE run < 2 UNION ALL

@@ -104,12 +104,19 @@ def entry_points(s: SparkSession, d: str) -> DataFrame:
     return graph.entry_points(_base(s, d), graph_bfs_levels(s, d), 5)
 
 
-def robust_prune(s: SparkSession, d: str) -> DataFrame:
+def _candidates(s: SparkSession, d: str) -> DataFrame:
     b = _base(s, d)
-    cands = written(knn.nearest(b, b, 40, skip_self=True).groupBy(F.col("qid").alias("id")).agg(F.sort_array(F.collect_list("id")).alias("cands")), "candidates")
-    kept = graph.prune_table(b, cands, 12, 1.2)
-    # with a factor above 1 the degree is filled, from the candidates alone
-    held = kept.join(cands, "id").filter(F.size(F.array_except("nbrs", "cands")) == 0)
+    return written(knn.nearest(b, b, 40, skip_self=True).groupBy(F.col("qid").alias("id")).agg(F.sort_array(F.collect_list("id")).alias("cands")), "candidates")
+
+
+def robust_prune(s: SparkSession, d: str) -> DataFrame:
+    return graph.prune_table(_base(s, d), _candidates(s, d), 12, 1.2)
+
+
+def robust_prune_degrees(s: SparkSession, d: str) -> DataFrame:
+    """Sizes of candidates and of what is kept of them; with a factor above 1 the degree is filled."""
+    cands = _candidates(s, d)
+    held = graph.prune_table(_base(s, d), cands, 12, 1.2).join(cands, "id").filter(F.size(F.array_except("nbrs", "cands")) == 0)
     return held.select("id", F.size("cands").alias("n_offered"), F.size(F.array_distinct("nbrs")).alias("n_kept"))
 
 
@@ -126,6 +133,10 @@ def vamana_search(s: SparkSession, d: str) -> DataFrame:
 
 
 def vamana_recall(s: SparkSession, d: str) -> DataFrame:
+    return knn.recall(vamana_search(s, d), knn_exact_l2(s, d), K)
+
+
+def vamana_enough(s: SparkSession, d: str) -> DataFrame:
     """Whether nine tenths of the true neighbours are found, over all queries."""
     return _enough(vamana_search(s, d), knn_exact_l2(s, d))
 
@@ -173,7 +184,7 @@ def fbin_stripes(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     knn_exact_l2, knn_graph, vec_mean, vec_medoid, vec_medoid_total, vec_sample, pq_encode, pq_lloyd_step, pq_adc, pq_topk, recall_at_k, graph_bfs_levels, graph_reorder,
-    entry_points, robust_prune, pq_train, vamana_search, vamana_recall, ann_search_recall, ann_artefacts, ann_degrees, fbin_stripes,
+    entry_points, robust_prune, robust_prune_degrees, pq_train, vamana_search, vamana_recall, vamana_enough, ann_search_recall, ann_artefacts, ann_degrees, fbin_stripes,
 )}
 
 
@@ -211,12 +222,12 @@ SQL = {
     "graph_bfs_levels": f"WITH {_LEVELS} SELECT id, level FROM first",
     "graph_reorder": f"WITH {_LEVELS} SELECT id, row_number() OVER (ORDER BY level NULLS LAST, id) - 1 AS place FROM (SELECT id FROM b) LEFT JOIN first USING (id)",
     "pq_train": f"SELECT r.range::INT AS chunk, {CODES}::BIGINT AS n_codes FROM range({CHUNKS}) r",
-    "vamana_recall": f"SELECT count(*) AS n_queries, true AS enough FROM embeddings WHERE vec_id % {ASK_EVERY} = 0",
+    "vamana_enough": f"SELECT count(*) AS n_queries, true AS enough FROM embeddings WHERE vec_id % {ASK_EVERY} = 0",
     "ann_search_recall": f"SELECT count(*) AS n_queries, true AS enough FROM embeddings WHERE vec_id % {ASK_EVERY} = 0",
     "ann_artefacts": f"SELECT unnest(['chunks', 'codes', 'nodes', 'medoid', 'entries']) AS name, unnest([{CHUNKS}, n, n, 1, 6]) AS n FROM (SELECT count(*) AS n FROM embeddings)",
     "ann_degrees": "SELECT count(*) AS n_nodes, 0::BIGINT AS n_bad FROM embeddings",
     "entry_points": f"""WITH {_LEVELS}, near AS (SELECT b.id, b.v, level FROM first JOIN b USING (id) ORDER BY level, id LIMIT 50),
   p0 AS (SELECT id, v FROM near ORDER BY level, id LIMIT 1), {_POINTS} SELECT nth, id FROM ({_PICKED})""",
-    "robust_prune": f"""WITH {_B}, {_NEAR.replace('rank <= 4', 'rank <= 40')} SELECT qid AS id, count(*)::INT AS n_offered, 12 AS n_kept FROM kg GROUP BY qid""",
+    "robust_prune_degrees": f"""WITH {_B}, {_NEAR.replace('rank <= 4', 'rank <= 40')} SELECT qid AS id, count(*)::INT AS n_offered, 12 AS n_kept FROM kg GROUP BY qid""",
     "fbin_stripes": f"SELECT vec_id % 4 AS file, (8 + count(*) * {DIMS} * 4)::INT AS n_bytes FROM embeddings GROUP BY 1",
 }

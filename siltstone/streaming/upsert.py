@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from siltstone.operators.log import durable_prefix
+from siltstone.sources.scratch import Files, fresh_dir
+
 
+def _drain(frame: DataFrame, schema: StructType) -> DataFrame:
+    """Run a stream over all that is there now; each micro-batch writes the whole result to a folder, the last one counts."""
+    spark = frame.sparkSession
+    path = fresh_dir(spark, "drained")
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={n:06d}")
 
-def _drain(frame: DataFrame, mode: str, name: str) -> DataFrame:
-    """Run a stream over all that is there now into a memory table."""
-    q = frame.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return frame.sparkSession.table(name)
+    frame.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{path}.checkpoint").trigger(availableNow=True).start().awaitTermination()
+    last = [n for n in Files(spark, path).names() if n.startswith("batch=")][-1:]
+    return spark.read.schema(schema).parquet(f"{path}/{last[0]}") if last else spark.createDataFrame([], schema)
 
 
 def latest_values(changes: DataFrame) -> DataFrame:
@@ -24,8 +30,8 @@ def latest_values(changes: DataFrame) -> DataFrame:
 
 def upsert_latest(changes: DataFrame) -> DataFrame:
     """Final live rows after draining a change stream; tombstones go after the winner is chosen."""
-    name = f"latest_{uuid.uuid4().hex}"
-    return _drain(latest_values(changes), "complete", name).filter("op = 'PUT'").drop("op")
+    latest = latest_values(changes)
+    return _drain(latest, latest.schema).filter("op = 'PUT'").drop("op")
 
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "1 day") -> DataFrame:
@@ -35,7 +41,8 @@ def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "1 day
 
 
 def drain_windows(events: DataFrame, width: str = "1 hour") -> DataFrame:
-    return _drain(windowed_counts(events, width), "complete", f"windows_{uuid.uuid4().hex}")
+    counts = windowed_counts(events, width)
+    return _drain(counts, counts.schema)
 
 
 def commit_batches(changes: DataFrame, path: str) -> None:
@@ -52,5 +59,5 @@ def committed(spark: SparkSession, path: str) -> DataFrame:
     """Rows of committed batches within the durable prefix of their lsn."""
     marks = spark.read.parquet(f"{path}/commit")
     durable = durable_prefix(marks)
-    rows = spark.read.parquet(f"{path}/data").join(F.broadcast(marks.select("batch").distinct()), "batch", "left_semi")
+    rows = spark.read.parquet(f"{path}/data").join(marks.select("batch").distinct(), "batch", "left_semi")
     return rows.join(F.broadcast(durable), F.col("lsn") <= F.col("durable_lsn")).drop("durable_lsn", "batch")

@@ -174,8 +174,9 @@ def test_index_files_and_search(spark, tmp_path):
 
 def test_robust_prune_drops_copies():
     x = np.array([[0.0], [1.0], [1.0], [3.0], [-2.0]])
-    kept = graph.robust_prune(x, 0, np.arange(5), 4, 1.2)
-    assert kept[0] == 1 and 2 not in kept and 4 in kept
+    assert graph.robust_prune(x, 0, np.arange(5), 2, 1.2) == [1, 4]  # a copy is out of the rounds
+    assert graph.robust_prune(x, 0, np.arange(5), 4, 1.2) == [1, 4, 2, 3]  # and back when the degree is filled
+    assert graph.robust_prune(x, 0, np.arange(5), 4, 1.0) == [1, 4]  # which needs a factor above 1
 
 
 def test_committed_batches(spark, tmp_path):
@@ -212,3 +213,67 @@ def test_vector_queries_cover_the_table(spark, sf_dir):
     assert [r.id for r in QUERIES["entry_points"](spark, sf_dir).orderBy("nth").collect()] == ids[own].tolist()
     recall = {r.qid: r.recall for r in QUERIES["vamana_recall"](spark, sf_dir).collect()}
     assert set(recall) == {i for i in ids.tolist() if i % 20 == 0} and np.mean(list(recall.values())) >= 0.9
+
+
+def test_store_conflicts_and_windows(spark, tmp_path):
+    """Two writers of one version, a full window, a writer that fails, and opening what is not there."""
+    from siltstone.operators.store import BackPressure, Conflict, Store
+
+    path = f"file://{tmp_path}/t"
+    with pytest.raises(FileNotFoundError):
+        Store(spark, path).manifest()
+    store = Store.create(spark, path, window=3)
+    with pytest.raises(FileExistsError):
+        Store.create(spark, path)
+    ops = spark.createDataFrame([(b, p, "PUT", f"k{p}", f"v{b}") for b in range(2) for p in (0, 1, 1)], "batch_id long, pos long, op string, key string, value string")
+    assert store.apply(ops.limit(0)) is None and store.stats()["next_lsn"] == 1
+    before = store.manifest()
+    assert store.stage(ops) == (1, 2)
+    with pytest.raises(BackPressure):
+        store.stage(ops)
+    with pytest.raises(Conflict):
+        store._install(before, next_lsn=9)
+    assert store.stats()["next_lsn"] == 3 and store.snapshot().scan().isEmpty() and store.seal() == store.manifest()
+    store.resolve((1, 2))
+    assert sorted((r.key, r.lsn, r.value) for r in store.snapshot().scan().collect()) == [("k0", 2, "v1"), ("k1", 2, "v1")]
+    with pytest.raises(ZeroDivisionError), store.batch() as scope:
+        scope.put(spark.createDataFrame([("k9", "x")], "key string, value string"))
+        1 / 0  # noqa: B018
+    assert store.put(spark.createDataFrame([("k2", "w")], "key string, value string")) == (3, 3)
+    assert store.delete(spark.createDataFrame([("k0",)], "key string")) == (4, 4)
+    assert {r.key for r in store.snapshot().scan().collect()} == {"k1", "k2"} and store.verify().isEmpty()
+    store.seal()
+    store.flush()
+    with pytest.raises(ValueError):
+        store.snapshot(lsn=1).rows()
+    assert store.flush() == store.manifest() and {r.key for r in store.snapshot().scan().collect()} == {"k1", "k2"}
+
+
+def test_index_checks(spark, tmp_path):
+    """An index that lacks an artefact, or whose codebook does not fit, is refused; a finished stage is not run again."""
+    from siltstone.operators import ann
+
+    r = np.random.default_rng(0)
+    base = spark.createDataFrame([(i, r.normal(size=8).tolist()) for i in range(60)], "id long, v array<double>")
+    path = f"file://{tmp_path}/i"
+    options = ann.Options(8, 4, 6, degree=6, size=12, entries=3, devices=2)
+    assert ann.build(base, path, options) == list(ann.STAGES) and ann.build(base, path, options) == []
+    index = ann.load(spark, path)
+    assert index.options == options and index.entries.count() == 3 and index.entries.filter(F.col("id") == index.medoid).count() == 1
+    hits = index.search(base.filter("id < 3"), k=1, size=20).collect()
+    assert {(h.qid, h.id) for h in hits} == {(i, i) for i in range(3)}
+    with pytest.raises(ValueError):
+        ann.check_codebook(spark.read.parquet(f"{path}/codebook").filter("code <> 2"), options)
+    ann.Files(spark, path).delete("entries")
+    with pytest.raises(FileNotFoundError):
+        ann.load(spark, path)
+    assert ann.build(base, path, options) == ["entries"]
+
+
+def test_frames(spark):
+    from siltstone.operators import frames
+
+    rows = frames.frame(spark.createDataFrame([(i, b"body%d" % i, 7) for i in range(6)], "pos int, body binary, gen long"), "body", "gen").withColumn("segment", F.lit(1))
+    torn = rows.withColumn("frame", F.when(F.col("pos") == 4, F.expr("substr(frame, 1, 10)")).otherwise(F.col("frame")))
+    assert {r.pos for r in frames.trusted(torn, "frame", F.lit(7), "segment", "pos").collect()} == {0, 1, 2, 3}
+    assert [r.s for r in torn.filter("pos = 4").select(frames.status(F.col("frame"), F.lit(7)).alias("s")).collect()] == ["truncated"]
