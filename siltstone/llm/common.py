@@ -70,15 +70,18 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def numbered(df: DataFrame, doc: str, text: str) -> DataFrame:
-    """(id, row, text) with a number for each row: its id, or one of its own if an id is null or repeated.
+def numbered(df: DataFrame, doc: str, text: str, unique: bool | None = None) -> tuple[DataFrame, bool]:
+    """(id, row, text) with a number for each row, and whether that is its id.
 
-    Numbers of their own are written with the texts, so that they stay the same.
+    It is the id if none is null or repeated (``unique``, if that is known). Numbers
+    of their own are written with the texts, so that they stay the same.
     """
     docs = df.select(F.col(doc).cast("long").alias("id"), F.col(text).alias("text"))
-    if docs.groupBy("id").count().filter("id IS NULL OR count > 1").isEmpty():
-        return docs.select("id", F.col("id").alias("row"), "text")
-    return materialize(docs.select("id", F.monotonically_increasing_id().alias("row"), "text"), "numbered")
+    if unique is None:
+        unique = docs.groupBy("id").count().filter("id IS NULL OR count > 1").isEmpty()
+    if unique:
+        return docs.select("id", F.col("id").alias("row"), "text"), True
+    return materialize(docs.select("id", F.monotonically_increasing_id().alias("row"), "text"), "numbered"), False
 
 
 def shuffle_parts(spark: SparkSession) -> int:

@@ -365,13 +365,13 @@ def _families(rows: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
     return materialize(sent.mapInArrow(run, "a long, b long"), "links")
 
 
-def link(df: DataFrame, doc: str = "doc_id", text: str = "text", k: int = 4, num: int = 85, den: int = 100, share: float | None = None) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of ``df``.
+def link(df: DataFrame, doc: str = "doc_id", text: str = "text", k: int = 4, num: int = 85, den: int = 100, share: float | None = None, unique: bool | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of ``df``; ``unique`` if its ids are known to be.
 
     ``share`` sets the part of each band's units that two-unit segments take,
     in place of the costs.
     """
-    docs = numbered(df, doc, text)
+    docs, by_id = numbered(df, doc, text, unique)
     every = materialize(_sizes(docs, k), "sizes")
     sizes = every.filter("gram IS NULL").drop("gram")
     often = every.filter("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(MOST_COMMON).select("gram")
@@ -419,8 +419,7 @@ def link(df: DataFrame, doc: str = "doc_id", text: str = "text", k: int = 4, num
         found = materialize(components(links), "components")
     own = F.coalesce("component", "row")
     out = sizes.select("id", "row", "n").join(found, F.col("row") == F.col("node"), "left")
-    # a component's smallest number is its smallest id, unless numbers are of their own
-    if out.filter("row IS DISTINCT FROM id").isEmpty():
+    if by_id:  # a component's smallest number is its smallest id then
         return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"))
     least = materialize(out.groupBy(own.alias("of")).agg(F.min("id").alias("least")), "least")
     return out.join(least, own == F.col("of")).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))

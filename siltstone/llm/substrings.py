@@ -215,7 +215,7 @@ def remove_repeats(df: DataFrame, doc: str = "doc_id", text: str = "text", lengt
     ``outputs`` are made before texts that nothing is removed from are joined, so
     that a digest travels in place of them.
     """
-    every = numbered(df, doc, text).select("id", "row", F.coalesce("text", F.lit("")).alias("text"))
+    every = numbered(df, doc, text)[0].select("id", "row", F.coalesce("text", F.lit("")).alias("text"))
     docs = every.select(F.col("row").alias("id"), "text")
     size = every.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = parts_for(size / 40 * 400 / length)
