@@ -45,7 +45,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         named = docs.withColumn(row, F.col("doc_id"))
     else:
         named = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "named")
-    linked = link(named, doc=row, k=5, num=80, den=100).select(F.col("doc_id").alias("at"), F.col("component_id").alias("of"))
+    linked = link(named, doc=row, k=5, num=80, den=100, unique=True).select(F.col("doc_id").alias("at"), F.col("component_id").alias("of"))
     if unique:
         others = linked.filter("at <> of").select(F.col("at").alias(other))
     else:
