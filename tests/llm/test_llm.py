@@ -410,7 +410,7 @@ def test_agreeing(spark):
     rows = [(int(a), int(b), int(t), int(lo), int(lo + n)) for a, b, t, lo, n in zip(r.integers(0, 4, 300), r.integers(4, 9, 300), r.integers(0, 8, 300), r.integers(0, 60, 300) * 10, r.integers(0, 10, 300), strict=True)]
     rows = list({(a, b, t, lo): (a, b, t, lo, hi) for a, b, t, lo, hi in rows}.values())
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
-    got = {(x.a, x.b) for x in passages.agreeing(spark.createDataFrame(rows, "a long, b long, t int, lo long, hi long"), 3).collect()}
+    got = {(x.a, x.b) for x in passages.agreeing(spark.createDataFrame(rows + rows[:40], "a long, b long, t int, lo long, hi long"), 3).collect()}
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     want = {(a, b) for a, b, _, lo, _ in rows if sum((a, b) == (c, d) and x <= lo <= y for c, d, _, x, y in rows) >= 3}
     assert got == want
