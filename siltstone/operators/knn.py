@@ -69,3 +69,9 @@ def recall(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     hits = found.filter(F.col("rank") <= k).select("qid", "id").distinct().join(truth.filter(F.col("rank") <= k).select("qid", "id"), ["qid", "id"], "left_semi")
     n = hits.groupBy("qid").agg(F.count("*").alias("n"))
     return truth.select("qid").distinct().join(n, "qid", "left").select("qid", (F.coalesce("n", F.lit(0)) / k).alias("recall"))
+
+
+def search_report(found: DataFrame, truth: DataFrame, k: int, seconds: float) -> DataFrame:
+    """One row: queries, their mean and least recall, and queries a second."""
+    n = F.count("*")
+    return recall(found, truth, k).agg(n.alias("n_queries"), F.round(F.avg("recall"), 9).alias("mean_recall"), F.min("recall").alias("least_recall"), (n / F.lit(seconds)).alias("per_second"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.plans.kv_queries import LOG, WON
-from siltstone.plans.workload import Workload, differences, expected_state, phase_stats
+from siltstone.plans.workload import Workload, differences, expected_state, phase_report, phase_stats
 from siltstone.sources.tables import change_log
 from siltstone.streaming.upsert import drain_windows, upsert_latest
 
@@ -30,6 +30,16 @@ def ycsb_phase_stats(s: SparkSession, d: str) -> DataFrame:
     return phase_stats(W.ops(s), W.keys(s).filter("key_id < 900"))
 
 
+def ycsb_phase_report(s: SparkSession, d: str) -> DataFrame:
+    """Runs of the workload's kinds; keys below 900 are loaded, every 50th operation fails, a phase takes two seconds."""
+    out = None
+    for kind in ("a", "b", "c", "update"):
+        ops = Workload(records=1000, operations=4000, kind=kind, value_size=64).ops(s)
+        one = phase_report(ops, W.keys(s).filter("key_id < 900"), ops.filter("op_index % 50 = 0"), kind, 2.0, 64)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def ycsb_differences(s: SparkSession, d: str) -> DataFrame:
     """What a run that missed its last 100 operations got wrong."""
     short = Workload(records=1000, operations=3900, kind="a", value_size=64)
@@ -66,7 +76,7 @@ def stream_windows(s: SparkSession, d: str) -> DataFrame:
     return drain_windows(c.select(F.timestamp_millis("ts_ms").alias("at"), "op"))
 
 
-QUERIES = {f.__name__: f for f in (ycsb_keys, ycsb_ops, ycsb_expected_state, ycsb_phase_stats, ycsb_differences, stream_upsert_latest, stream_windows)}
+QUERIES = {f.__name__: f for f in (ycsb_keys, ycsb_ops, ycsb_expected_state, ycsb_phase_stats, ycsb_phase_report, ycsb_differences, stream_upsert_latest, stream_windows)}
 
 _MOD = "18446744073709551616::UHUGEINT"
 
@@ -87,6 +97,10 @@ SQL = {
     "ycsb_keys": "SELECT i AS key_id, 'user' || lpad(i::VARCHAR, 20, '0') AS key FROM range(1000) r(i)",
     "ycsb_ops": f"WITH {_OPS} SELECT * FROM ops",
     "ycsb_phase_stats": f"WITH {_OPS} SELECT kind, count(*) AS n_ops, count(*) FILTER (kind = 'read' AND key_id < 900) AS n_found, count(*) FILTER (kind = 'read' AND key_id >= 900) AS n_missed FROM ops GROUP BY kind",
+    "ycsb_phase_report": f"""WITH {_OPS}, k AS (SELECT unnest(['a', 'b', 'c', 'update']) AS phase, unnest([50, 95, 100, 0]) AS reads),
+x AS (SELECT phase, op_index, key_id, roll < reads AS read, op_index % 50 = 0 AS bad FROM (SELECT op_index, roll, k::BIGINT AS key_id FROM o), k)
+SELECT phase, count(*) AS n_ops, count(DISTINCT op_index // 64) AS n_batches, count(*) FILTER (NOT read AND NOT bad) AS n_acked, count(*) FILTER (read AND NOT bad AND key_id < 900) AS n_found,
+  count(*) FILTER (read AND NOT bad AND key_id >= 900) AS n_missed, count(*) FILTER (NOT read AND bad) AS n_write_errors, count(*) FILTER (read AND bad) AS n_read_errors, count(*) / 2.0::DOUBLE AS per_second FROM x GROUP BY phase""",
     "ycsb_differences": f"WITH {_OPS} SELECT key_id, max(generation) AS generation FROM ops WHERE kind = 'update' GROUP BY key_id HAVING max(generation) > 3900",
     "stream_upsert_latest": f"WITH {LOG}, w AS (SELECT *, {WON} FROM chg) SELECT key, lsn, value FROM w WHERE nth = 1 AND op = 'PUT'",
     "stream_windows": f"WITH {LOG} SELECT ts_ms // 3600000 * 3600000 AS window_ms, op, count(*) AS n FROM chg GROUP BY 1, 2",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.vectors import chunk_offsets
 from siltstone.operators import ann, graph, knn, pq
-from siltstone.sources.binary import vector_blobs
+from siltstone.sources.binary import decode_vectors, vector_blobs
 from siltstone.sources.scratch import fresh_dir, written
 from siltstone.sources.tables import table
 
@@ -182,9 +182,20 @@ def fbin_stripes(s: SparkSession, d: str) -> DataFrame:
     return vector_blobs(_base(s, d), 4).select("file", F.octet_length("content").alias("n_bytes"))
 
 
+def fbin_roundtrip(s: SparkSession, d: str) -> DataFrame:
+    """Vectors written to four files' bytes and read again: a file's rows are in id order."""
+    rows = decode_vectors(vector_blobs(_base(s, d), 4))
+    return rows.select("file", "id", F.get("v", F.lit(0)).cast("double").alias("first"), F.get("v", F.lit(DIMS - 1)).cast("double").alias("last"))
+
+
+def search_stats(s: SparkSession, d: str) -> DataFrame:
+    """One row of a search by codes: queries, mean and least recall, and queries a second if it took two."""
+    return knn.search_report(_by_codes(s, d), knn_exact_l2(s, d), K, 2.0)
+
+
 QUERIES = {f.__name__: f for f in (
     knn_exact_l2, knn_graph, vec_mean, vec_medoid, vec_medoid_total, vec_sample, pq_encode, pq_lloyd_step, pq_adc, pq_topk, recall_at_k, graph_bfs_levels, graph_reorder,
-    entry_points, robust_prune, robust_prune_degrees, pq_train, vamana_search, vamana_recall, vamana_enough, ann_search_recall, ann_artefacts, ann_degrees, fbin_stripes,
+    entry_points, robust_prune, robust_prune_degrees, pq_train, vamana_search, vamana_recall, vamana_enough, ann_search_recall, ann_artefacts, ann_degrees, fbin_stripes, fbin_roundtrip, search_stats,
 )}
 
 
@@ -219,6 +230,8 @@ SQL = {
     "pq_adc": f"WITH {_B}, {_MEAN}, {_PARTS}, {_ADC} SELECT qid, chunk, code, round(d, 9) AS d FROM t",
     "pq_topk": f"WITH {_B}, {_MEAN}, {_PARTS}, {_ENC}, {_ADC}, {_CODED} SELECT qid, rank, id FROM ct WHERE rank <= {K}",
     "recall_at_k": f"WITH {_B}, {_MEAN}, {_PARTS}, {_ENC}, {_ADC}, {_CODED}, {_TOP} SELECT top.qid, count(ct.id) / {K} AS recall FROM top LEFT JOIN ct ON ct.qid = top.qid AND ct.id = top.id AND ct.rank <= {K} WHERE top.rank <= {K} GROUP BY top.qid",
+    "search_stats": f"WITH {_B}, {_MEAN}, {_PARTS}, {_ENC}, {_ADC}, {_CODED}, {_TOP}, r AS (SELECT top.qid, count(ct.id) / {K} AS recall FROM top LEFT JOIN ct ON ct.qid = top.qid AND ct.id = top.id AND ct.rank <= {K} WHERE top.rank <= {K} GROUP BY top.qid) SELECT count(*) AS n_queries, round(avg(recall), 9) AS mean_recall, min(recall) AS least_recall, count(*) / 2.0::DOUBLE AS per_second FROM r",
+    "fbin_roundtrip": f"SELECT vec_id % 4 AS file, vec_id // 4 AS id, embedding[1]::DOUBLE AS first, embedding[{DIMS}]::DOUBLE AS last FROM embeddings",
     "graph_bfs_levels": f"WITH {_LEVELS} SELECT id, level FROM first",
     "graph_reorder": f"WITH {_LEVELS} SELECT id, row_number() OVER (ORDER BY level NULLS LAST, id) - 1 AS place FROM (SELECT id FROM b) LEFT JOIN first USING (id)",
     "pq_train": f"SELECT r.range::INT AS chunk, {CODES}::BIGINT AS n_codes FROM range({CHUNKS}) r",

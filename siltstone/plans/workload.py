@@ -90,6 +90,22 @@ def phase_stats(ops: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
+def phase_report(ops: DataFrame, found: DataFrame, failed: DataFrame, phase: str, seconds: float, batch: int) -> DataFrame:
+    """One row of a phase: operations, batches of ``batch``, acknowledged writes, reads found and missed, errors of both, operations a second.
+
+    ``failed`` has the (op_index) that were answered with an error.
+    """
+    f, bad = found.select("key_id").distinct().withColumn("hit", F.lit(True)), failed.select("op_index").distinct().withColumn("bad", F.lit(True))
+    x = ops.join(f, "key_id", "left").join(bad, "op_index", "left")
+    read, fine, hit = F.col("kind") == "read", F.col("bad").isNull(), F.col("hit").isNotNull()
+    n = F.count("*")
+    return x.agg(
+        F.lit(phase).alias("phase"), n.alias("n_ops"), F.count_distinct(F.floor(F.col("op_index") / batch)).alias("n_batches"), F.count_if(~read & fine).alias("n_acked"),
+        F.count_if(read & fine & hit).alias("n_found"), F.count_if(read & fine & ~hit).alias("n_missed"), F.count_if(~read & ~fine).alias("n_write_errors"),
+        F.count_if(read & ~fine).alias("n_read_errors"), (n / F.lit(seconds)).alias("per_second"),
+    )
+
+
 def differences(state: DataFrame, expected: DataFrame) -> DataFrame:
     """Keys whose state is not what was expected: (key_id, expected, actual)."""
     cols = ("kind", "generation", "value_crc32c")

@@ -17,11 +17,23 @@ _KINDS = {"float": ("<f4", "float"), "ubyte": ("u1", "smallint"), "uint": ("<u4"
 
 def read_vectors(spark: SparkSession, path: str, kind: str = "float") -> DataFrame:
     """(file, id, v) of files that hold u32 rows, u32 columns, then the rows' numbers; a short file is an error."""
+    return decode_vectors(spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content"), kind)
+
+
+def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
+    """(qid, rank, id) of a file of neighbours' ids, a row a query, nearest first; ranks from 1."""
+    rows = read_vectors(spark, path, "uint")
+    return rows.select(F.col("id").alias("qid"), F.posexplode("v").alias("at", "id")).select("qid", (F.col("at") + 1).alias("rank"), "id")
+
+
+def decode_vectors(files: DataFrame, kind: str = "float") -> DataFrame:
+    """(file, content) -> (file, id, v), numbered from 0 in each file."""
     code, sql = _KINDS[kind]
+    name_type = files.schema["file"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for name, data in zip(pdf["path"], pdf["content"], strict=True):
+            for name, data in zip(pdf["file"], pdf["content"], strict=True):
                 n, dims = np.frombuffer(data, "<u4", 2)
                 size = int(n) * int(dims) * np.dtype(code).itemsize
                 if len(data) < 8 + size:
@@ -30,8 +42,7 @@ def read_vectors(spark: SparkSession, path: str, kind: str = "float") -> DataFra
                 for at in range(0, len(x), 10_000):
                     yield pd.DataFrame({"file": name, "id": np.arange(at, min(at + 10_000, len(x))), "v": list(x[at : at + 10_000])})
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, f"file string, id long, v array<{sql}>")
+    return files.select("file", "content").mapInPandas(run, f"file {name_type}, id long, v array<{sql}>")
 
 
 def vector_file(x: np.ndarray, kind: str = "float") -> bytes:
