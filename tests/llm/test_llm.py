@@ -134,7 +134,9 @@ def test_sketches():
     assert jaccard.differ(jaccard.sketch(own[:5]), jaccard.sketch(own[:5])) == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 10_000])
+def test_components(spark, monkeypatch, small):
+    monkeypatch.setattr("siltstone.llm.components.SMALL", small)
     edges = [(1, 2), (2, 3), (3, 4), (4, 5), (9, 8), (7, 7), (None, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 8: 8, 9: 8}
