@@ -32,5 +32,5 @@ def test_query(spark, sf_dir, con, name):
 def test_entry(spark):
     import __spark_entry__
 
-    assert __spark_entry__.entry(spark).count() == 100
+    assert __spark_entry__.entry(spark).count() == 250
     assert set(ORACLE_SQL) <= set(QUERIES)
