@@ -360,6 +360,33 @@ def test_passages_beyond_leads(spark, monkeypatch, few):
     assert [(a, b) for a, b in wanted if a not in got or got.get(a) != got.get(b)] == []
 
 
+def test_passages_of_frequent_keys(spark, monkeypatch):
+    """Two texts that are in one class by a third still get their own common passage, whether its keys count as large or not."""
+    r = np.random.default_rng(5)
+    prose = lambda n: [f"w{x}" for x in r.integers(0, 10**9, n)]
+    docs, wanted = [], []
+    for _ in range(4):
+        one, two, three = prose(80), prose(80), prose(90)
+        docs += [prose(40) + three[:45] + prose(40) for _ in range(5)] + [prose(40) + three[45:] + prose(40) for _ in range(5)]
+        docs += [prose(20) + one + prose(60) + two + prose(20), prose(30) + one + prose(60) + three + prose(30), prose(40) + two + prose(60) + three + prose(40)]
+        wanted += [(len(docs) - 2, 170, 260), (len(docs) - 1, 180, 270)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    for few in (33, 0):
+        monkeypatch.setattr(passages, "FEW", few)
+        got = {(x.doc_id, x.start_word, x.end_word): x.class_id for x in passages.near_passages(df).collect()}
+        assert [x for x in wanted if x not in got] == [] and all(got[x] == x[0] // 13 * 13 + 10 for x in wanted)
+
+
+def test_share():
+    """Intervals of one function or without a common start are too little; pairs of one class whose places are covered are done."""
+    held = lambda rows: np.array(sorted(rows), passages.HELD)
+    a = held([(1, 0, 5, 0, 9, True), (2, 1, 7, 5, 12, True), (3, 2, 9, 9, 20, True), (4, 3, 40, 30, 45, True)])
+    assert passages._share(a, a, 3, True) and not passages._share(a, a, 4, True) and not passages._share(a, a, 3, False)
+    b = a.copy()
+    b["covered"][3] = False
+    assert passages._share(a, b, 3, False) and not passages._share(a, b[:2], 3, True)
+
+
 def test_passages_behind_pieces(spark):
     """A passage that two texts share, where parts of it stand in sixty texts of smaller ids."""
     r = np.random.default_rng(3)
