@@ -8,7 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from siltstone.functions.hashing import crc32c_of, fnv1a32, fnv1a64_of, splitmix64
-from siltstone.operators import cache, fold, graph, knn, log, reads, recovery
+from siltstone.operators import cache, fold, graph, knn, log, reads, recovery, tiles
 from siltstone.sources import binary, resp
 
 LOG = "key string, seq long, lsn long, gen long, op string, value string"
@@ -277,3 +277,31 @@ def test_frames(spark):
     torn = rows.withColumn("frame", F.when(F.col("pos") == 4, F.expr("substr(frame, 1, 10)")).otherwise(F.col("frame")))
     assert {r.pos for r in frames.trusted(torn, "frame", F.lit(7), "segment", "pos").collect()} == {0, 1, 2, 3}
     assert [r.s for r in torn.filter("pos = 4").select(frames.status(F.col("frame"), F.lit(7)).alias("s")).collect()] == ["truncated"]
+
+
+def test_nearest_of_odd_rows(spark, monkeypatch):
+    """Copies, ties, vectors far from the origin, repeated ids, and rows that are null or no numbers: as by all pairs, nulls last."""
+    monkeypatch.setattr(tiles, "BLOCK", 16)
+    monkeypatch.setattr(tiles, "TILE", 64)
+    r = np.random.default_rng(4)
+    v = [*r.integers(-2, 3, (80, 5)).astype(float).tolist(), *(1e6 + r.random((40, 5))).tolist()]
+    data = [(i if i != 7 else 6, x) for i, x in enumerate(v)] + [(200, None), (201, [1.0, None, 0.0, 0.0, 0.0]), (202, [float("nan")] * 5), (203, [float("inf"), 0.0, 0.0, 0.0, 0.0]), (204, [1.0])]
+    base = spark.createDataFrame(data, "id long, v array<double>")
+    asked = base.filter("id % 3 = 0 OR id = 201")
+
+    def dist(a, b):
+        if a is None or b is None or len(a) != len(b) or None in a + b:
+            return None
+        d = 0.0
+        for x, y in zip(a, b, strict=True):
+            d += (x - y) * (x - y)
+        return d
+
+    order = lambda x: (x[0] is None, x[0] != x[0], x[0] if x[0] is not None and x[0] == x[0] else 0.0, x[1])
+    for skip in (False, True):
+        want = []
+        for q in {q for q, _ in data if q % 3 == 0 or q == 201}:
+            found = sorted(((dist(b, x), i) for a, b in data if a == q for i, x in data if not skip or i != q), key=order)
+            want += [(q, n, i, repr(d)) for n, (d, i) in enumerate(found[:6], 1)]
+        got = [(x.qid, x.rank, x.id, repr(x.dist)) for x in knn.nearest(base, asked, 6, skip).collect()]
+        assert sorted(got) == sorted(want)
