@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from siltstone.functions.vectors import chunks, minus, squared_l2
+from siltstone.operators import tiles
+from siltstone.sources.scratch import written
 
 
 def chunked(base: DataFrame, center: DataFrame, dims: int, n: int) -> DataFrame:
@@ -75,3 +78,81 @@ def distance_table(query_parts: DataFrame, codebook: DataFrame) -> DataFrame:
 def by_table(table: DataFrame, codes: DataFrame, digits: int = 9) -> DataFrame:
     """(qid, id, dist): sums of table entries over the chunks' codes."""
     return codes.join(table, ["chunk", "code"]).groupBy("qid", "id").agg(F.round(F.sum("d"), digits).alias("dist"))
+
+
+class _Lookups(tiles.Best):
+    """Rows of least table sums, in chunk order; sums that may round to the k-th's stay, and of equal sums the k smallest ids."""
+
+    def __init__(self, qids: np.ndarray, table: np.ndarray, k: int, digits: int):
+        super().__init__(len(table), k)
+        self.qids, self.table, self.unit = qids, table, 1.5 * 10.0**-digits
+
+    def add(self, ids: np.ndarray, slots: np.ndarray) -> None:
+        step, slots = max(self.k + 1, tiles.TILE // len(self.qids)), slots.astype(np.int64)
+        for a in range(0, len(ids), step):
+            near = 0.0
+            for slot in slots[a : a + step].T:
+                near = near + np.take(self.table, slot, axis=1)
+            most = self.far
+            new = np.flatnonzero(np.isinf(most))
+            if len(new) and near.shape[1] > self.k:
+                most = most.copy()
+                most[new] = self.upto(np.partition(near[new], self.k - 1, axis=1)[:, self.k - 1])
+            row, col = np.nonzero(near <= most[:, None])
+            super().add(row, ids[a : a + step][col], near[row, col])
+
+    def upto(self, dist: np.ndarray) -> np.ndarray:
+        return dist + self.unit + np.abs(dist) * 1e-14
+
+    def kept(self, row: np.ndarray, dist: np.ndarray) -> np.ndarray:
+        at = np.arange(len(row))
+        last = at - np.searchsorted(row, row) == self.k - 1
+        self.far[row[last]] = self.upto(dist[last])
+        fresh = np.append(True, (row[1:] != row[:-1]) | (dist[1:] != dist[:-1]))[: len(row)]
+        return (dist <= self.far[row]) & (at - np.maximum.accumulate(np.where(fresh, at, 0)) < self.k)
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        self.merge()
+        row, ident, dist = self.held
+        return self.qids[row], ident, dist
+
+
+def nearest_by_table(table: DataFrame, codes: DataFrame, k: int, digits: int = 9) -> DataFrame:
+    """(qid, rank, id, dist): each query's k rows of least ``by_table`` sums, ties to the smaller id.
+
+    All queries meet all rows in cells, where sums are looked up; queries without a
+    number for every code of the table, and rows without one code a chunk, go by ``by_table``.
+    """
+    kinds = table.schema["qid"].dataType, codes.schema["id"].dataType
+    table, codes = table.select("qid", "chunk", "code", "d"), codes.select("id", "chunk", "code")
+    pairs = [by_table(table, codes, digits)]
+    if all(isinstance(x, IntegralType) for x in kinds):
+        ask = written(table.groupBy(F.col("qid").alias("id")).agg(F.sort_array(F.collect_list(F.struct("chunk", "code", "d"))).alias("t")), "lookup")
+        slots = sorted((int(r.chunk), int(r.code)) for r in ask.select(F.explode("t").alias("t")).select("t.chunk", "t.code").distinct().dropna().collect())  # 256 a chunk at most
+        of_chunk = sorted({c for c, _ in slots})
+        known = table.sparkSession.createDataFrame([(c, x, i) for i, (c, x) in enumerate(slots)], "chunk int, code int, slot int")
+        coded = codes.join(F.broadcast(known), ["chunk", "code"]).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("chunk", "slot"))).alias("s"))
+        coded = written(coded, "coded")
+        longs = lambda x: F.array(*(F.lit(i).cast("long") for i in x))
+        same = F.expr("transform(t, x -> CAST(x.chunk AS LONG))") == longs(c for c, _ in slots)
+        same &= F.expr("transform(t, x -> CAST(x.code AS LONG))") == longs(x for _, x in slots)
+        ask = ask.select("id", F.expr("transform(t, x -> CAST(x.d AS DOUBLE))").alias("v"), F.coalesce(same, F.lit(False)).alias("same"))
+        ask = ask.withColumn("same", F.col("same") & tiles.regular(len(slots)))
+        rows = coded.select("id", F.expr("transform(s, x -> CAST(x.slot AS DOUBLE))").alias("v"), (F.expr("transform(s, x -> CAST(x.chunk AS LONG))") == longs(of_chunk)).alias("same"))
+        rows = rows.withColumn("same", F.col("same") & tiles.regular(len(of_chunk)))
+        n, pairs = ask.filter("same").count(), []
+        if n:
+            clean = [df.filter("same").select(F.col("id").cast("long").alias("id"), "v") for df in (rows, ask)]
+            own = tiles.cells(*clean, n, lambda qids, q: _Lookups(qids, q, k, digits))
+            pairs.append(own.select(F.col("qid").cast(kinds[0]).alias("qid"), F.col("id").cast(kinds[1]).alias("id"), F.round("dist", digits).alias("dist")))
+        odd = [df.filter("NOT same").select(F.col("id").alias("odd")) for df in (rows, ask)]
+        if not n or not odd[1].isEmpty():
+            pairs.append(by_table(table.join(odd[1], F.col("qid").eqNullSafe(F.col("odd")), "left_semi"), codes, digits))
+        if n and not odd[0].isEmpty():
+            fit = table.join(ask.filter("same").select(F.col("id").alias("odd")), F.col("qid") == F.col("odd"), "left_semi")
+            pairs.append(by_table(fit, codes.join(odd[0], F.col("id").eqNullSafe(F.col("odd")), "left_semi"), digits))
+    dist = pairs[0]
+    for more in pairs[1:]:
+        dist = dist.unionByName(more)
+    best = Window.partitionBy("qid").orderBy(F.col("dist").asc_nulls_last(), F.col("id").asc_nulls_last())
+    return dist.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("qid", "rank", "id", "dist")

@@ -8,7 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from siltstone.functions.hashing import crc32c_of, fnv1a32, fnv1a64_of, splitmix64
-from siltstone.operators import cache, fold, graph, knn, log, reads, recovery, tiles
+from siltstone.operators import cache, fold, graph, knn, log, pq, reads, recovery, tiles
 from siltstone.sources import binary, resp
 
 LOG = "key string, seq long, lsn long, gen long, op string, value string"
@@ -305,3 +305,19 @@ def test_nearest_of_odd_rows(spark, monkeypatch):
             want += [(q, n, i, repr(d)) for n, (d, i) in enumerate(found[:6], 1)]
         got = [(x.qid, x.rank, x.id, repr(x.dist)) for x in knn.nearest(base, asked, 6, skip).collect()]
         assert sorted(got) == sorted(want)
+
+
+def test_nearest_by_table(spark, monkeypatch):
+    """As by all sums: many equal sums, a code that is missing, a query without a number, rows that lack a chunk."""
+    monkeypatch.setattr(tiles, "BLOCK", 8)
+    monkeypatch.setattr(tiles, "TILE", 64)
+    r = np.random.default_rng(2)
+    table = [(q, c, x, float(r.integers(0, 3)) / 3 if (q, c, x) != (5, 1, 1) else None) for q in range(20) for c in range(3) for x in range(4) if (q, c, x) != (4, 0, 0)]
+    codes = [(i, c, int(r.integers(0, 4))) for i in range(150) for c in range(3) if (i, c) != (30, 2)]
+    table, codes = spark.createDataFrame(table, "qid long, chunk int, code int, d double"), spark.createDataFrame(codes, "id long, chunk int, code int")
+    want = {}
+    for x in pq.by_table(table, codes).collect():
+        want.setdefault(x.qid, []).append((x.dist is None, x.dist, x.id))
+    want = sorted((q, n, i) for q, own in want.items() for n, (_, _, i) in enumerate(sorted(own)[:7], 1))
+    found = pq.nearest_by_table(table, codes, 7)
+    assert sorted((x.qid, x.rank, x.id) for x in found.collect()) == want
