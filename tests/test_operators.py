@@ -321,3 +321,18 @@ def test_nearest_by_table(spark, monkeypatch):
     want = sorted((q, n, i) for q, own in want.items() for n, (_, _, i) in enumerate(sorted(own)[:7], 1))
     found = pq.nearest_by_table(table, codes, 7)
     assert sorted((x.qid, x.rank, x.id) for x in found.collect()) == want
+
+
+def test_total_medoid(spark):
+    """Without pairs of regular vectors; null vectors come last."""
+    r = np.random.default_rng(9)
+    x = 1000 + r.random((60, 4))
+    data = [(i, v) for i, v in enumerate(x.tolist())] + [(100, None), (61, x[5].tolist())]
+    base = spark.createDataFrame(data, "id long, v array<double>")
+    every = np.vstack([x, x[5]])
+    total = ((every[:, None] - every[None]) ** 2).sum((1, 2))
+    best = min((round(t, 6), i if i < 60 else 61) for i, t in enumerate(total))
+    found = knn.total_medoid(base)
+    assert [(r.total, r.id) for r in found.collect()] == [best]
+    far = spark.createDataFrame([*data, (300, [float("inf")] * 4)], "id long, v array<double>")
+    assert knn.total_medoid(far).first().id is not None
