@@ -336,3 +336,28 @@ def test_total_medoid(spark):
     assert [(r.total, r.id) for r in found.collect()] == [best]
     far = spark.createDataFrame([*data, (300, [float("inf")] * 4)], "id long, v array<double>")
     assert knn.total_medoid(far).first().id is not None
+
+
+def test_graph_of_a_large_shard(spark):
+    """Nodes put in by batches: pruned as one by one, links within the degree, and a few thousand vectors in seconds."""
+    import time
+
+    r = np.random.default_rng(3)
+    x = r.normal(size=(4000, 32))
+    nodes, cand = np.arange(50), np.sort(np.array([r.choice(4000, 40, replace=False) for _ in range(50)]), 1)
+    y = x[cand]
+    for alpha in (1.0, 1.2):
+        kept = graph.prune_rows(y, ((y - x[nodes, None]) ** 2).sum(-1), cand, cand != nodes[:, None], 12, alpha)
+        assert [c[k[k >= 0]].tolist() for c, k in zip(cand, kept, strict=True)] == [graph.robust_prune(x, i, cand[i], 12, alpha) for i in nodes]
+    began = time.time()
+    links, start = graph.vamana(x, 24, 50, 1.2)
+    assert time.time() - began < 40
+    assert all(len(own) <= 24 and len(set(own.tolist())) == len(own) and i not in own for i, own in enumerate(links))
+    q = x[::40]
+    near = ((q[:, None] - x) ** 2).sum(2)
+    table = np.full((4000, 24), -1)
+    for i, own in enumerate(links):
+        table[i, : len(own)] = own
+    row, node, _ = graph.beam(x, table, near.T, q, [start], 10, 50, 4, 1)
+    true = np.argsort(near, axis=1)[:, :10]
+    assert np.mean([len({*node[row == i].tolist()} & {*true[i].tolist()}) / 10 for i in range(len(q))]) >= 0.9
