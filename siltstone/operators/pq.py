@@ -81,25 +81,30 @@ def by_table(table: DataFrame, codes: DataFrame, digits: int = 9) -> DataFrame:
 
 
 class _Lookups(tiles.Best):
-    """Rows of least table sums, in chunk order; sums that may round to the k-th's stay, and of equal sums the k smallest ids."""
+    """Rows of least table sums: a matrix product tells which may be, these are summed in chunk order; sums that may round to the k-th's stay, and of equal sums the k smallest ids."""
 
     def __init__(self, qids: np.ndarray, table: np.ndarray, k: int, digits: int):
         super().__init__(len(table), k)
         self.qids, self.table, self.unit = qids, table, 1.5 * 10.0**-digits
+        self.slack = 64 * np.finfo(np.float64).eps * np.abs(table).sum(1)  # of the product
 
     def add(self, ids: np.ndarray, slots: np.ndarray) -> None:
         step, slots = max(self.k + 1, tiles.TILE // len(self.qids)), slots.astype(np.int64)
         for a in range(0, len(ids), step):
-            near = 0.0
-            for slot in slots[a : a + step].T:
-                near = near + np.take(self.table, slot, axis=1)
-            most = self.far
-            new = np.flatnonzero(np.isinf(most))
+            part = slots[a : a + step]
+            chosen = np.zeros((len(part), self.table.shape[1]))
+            chosen[np.arange(len(part))[:, None], part] = 1
+            near = self.table @ chosen.T  # in another order than by chunks
+            most = self.far + self.slack
+            new = np.flatnonzero(np.isinf(self.far))
             if len(new) and near.shape[1] > self.k:
-                most = most.copy()
-                most[new] = self.upto(np.partition(near[new], self.k - 1, axis=1)[:, self.k - 1])
+                most[new] = self.upto(np.partition(near[new], self.k - 1, axis=1)[:, self.k - 1] + self.slack[new]) + self.slack[new]
             row, col = np.nonzero(near <= most[:, None])
-            super().add(row, ids[a : a + step][col], near[row, col])
+            dist = np.zeros(len(row))
+            for slot in part.T:
+                dist += self.table[row, slot[col]]
+            own = dist <= self.far[row]
+            super().add(row[own], ids[a : a + step][col[own]], dist[own])
 
     def upto(self, dist: np.ndarray) -> np.ndarray:
         return dist + self.unit + np.abs(dist) * 1e-14
@@ -120,7 +125,7 @@ class _Lookups(tiles.Best):
 def nearest_by_table(table: DataFrame, codes: DataFrame, k: int, digits: int = 9) -> DataFrame:
     """(qid, rank, id, dist): each query's k rows of least ``by_table`` sums, ties to the smaller id.
 
-    All queries meet all rows in cells, where sums are looked up; queries without a
+    All queries meet all rows in cells, where sums are matrix products of tables and chosen codes; queries without a
     number for every code of the table, and rows without one code a chunk, go by ``by_table``.
     """
     kinds = table.schema["qid"].dataType, codes.schema["id"].dataType

@@ -361,3 +361,19 @@ def test_graph_of_a_large_shard(spark):
     row, node, _ = graph.beam(x, table, near.T, q, [start], 10, 50, 4, 1)
     true = np.argsort(near, axis=1)[:, :10]
     assert np.mean([len({*node[row == i].tolist()} & {*true[i].tolist()}) / 10 for i in range(len(q))]) >= 0.9
+
+
+def test_table_sums_by_products(monkeypatch):
+    """Sums of all pairs are matrix products, without a lookup a pair and chunk; what they keep is as by sums in chunk order."""
+    r = np.random.default_rng(6)
+    table, slots = r.integers(0, 4, (30, 24)) / 3, r.integers(0, 4, (900, 6)) + 4 * np.arange(6)
+    dist = np.zeros((30, 900))
+    for slot in slots.T:
+        dist += table[:, slot]
+    want = {(q, i) for q in range(30) for i in np.lexsort((np.arange(900), np.round(dist[q], 9)))[:5]}
+    monkeypatch.setattr(pq.np, "take", None)
+    best = pq._Lookups(np.arange(30), table, 5, 9)
+    for a in range(0, 900, 100):
+        best.add(np.arange(a, a + 100), slots[a : a + 100].astype(float))
+    qid, ident, d = best.rows()
+    assert want <= set(zip(qid.tolist(), ident.tolist(), strict=True)) and all(d == dist[qid, ident])
