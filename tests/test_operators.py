@@ -377,3 +377,21 @@ def test_table_sums_by_products(monkeypatch):
         best.add(np.arange(a, a + 100), slots[a : a + 100].astype(float))
     qid, ident, d = best.rows()
     assert want <= set(zip(qid.tolist(), ident.tolist(), strict=True)) and all(d == dist[qid, ident])
+
+
+def test_prune_table_of_many_nodes(spark):
+    """As one by one, in a few tasks' time: lists of many lengths, none, and groups that go on over batches."""
+    r = np.random.default_rng(8)
+    x = r.normal(size=(300, 6)).round(1)
+    x[7] = x[9]
+    cands = {i: sorted(int(c) for c in r.choice(300, int(r.integers(0, 30)), replace=False) if c != i) for i in range(0, 300, 2)}
+    base = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id long, v array<double>")
+    table = spark.createDataFrame(list(cands.items()), "id long, cands array<long>")
+    pruned = graph.prune_table(base, table, 5, 1.2)
+    assert "FlatMapGroupsInPandas" not in pruned._jdf.queryExecution().toString()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 17)
+    try:
+        got = {row.id: row.nbrs for row in pruned.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {i: graph.robust_prune(x, i, np.array(c), 5, 1.2) for i, c in cands.items() if c}
