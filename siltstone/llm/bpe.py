@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from siltstone.llm.common import bounded_batches, table
+from siltstone.llm.common import bounded_batches, table, trimmed
 
-#: Pre-tokens whose ids a worker remembers, in two generations of this many.
-REMEMBERED = 400_000
+#: Pre-tokens whose ids a worker remembers, in two generations of this many (some 70 MB both).
+REMEMBERED = 200_000
 
 
 class PerfectHash:
@@ -172,7 +172,7 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text") -> D
                 names=[*batch.schema.names, "n_tokens", "ids", "decoded"],
             )
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)
 
 
 def decode(df: DataFrame, rank_file: str, ids: str = "ids", out: str = "text_bytes") -> DataFrame:

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import WordHash, bounded_batches, discard, map_batches, materialize, mix64, numbered, shingle_hashes, shuffle_parts, table, word_hashes, words_of
+from siltstone.llm.common import WordHash, bounded_batches, discard, map_batches, materialize, mix64, numbered, shingle_hashes, shuffle_parts, table, trimmed, word_hashes, words_of
 from siltstone.llm.components import components
 from siltstone.llm.runs import SCHEMA, led, parts_for, shared
 
@@ -202,7 +202,7 @@ def _sizes(docs: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([none, none, pa.array(n), pa.nulls(len(gram), pa.binary()), pa.array(gram.view(np.int64))], names=names)
 
     names = ["id", "row", "n", "sketch", "gram"]
-    return docs.select("id", "row", "text").mapInArrow(run, "id long, row long, n long, sketch binary, gram long")
+    return docs.select("id", "row", "text").mapInArrow(trimmed(run), "id long, row long, n long, sketch binary, gram long")
 
 
 #: The place of a row that stands for a whole set, equal to its lead's.
@@ -234,7 +234,7 @@ def _index(docs: DataFrame, k: int, bands: Bands, parts: int) -> DataFrame:
                 key, check, ident = (np.array(x) for x in zip(*whole, strict=True))
                 yield led(key, check, ident.astype(np.int64), np.full(len(key), COPY, np.int64), parts)
 
-    return docs.mapInArrow(run, SCHEMA)
+    return docs.mapInArrow(trimmed(run), SCHEMA)
 
 
 def plausible(pairs: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
@@ -284,7 +284,7 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> Da
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
 
-    return sent.mapInArrow(run, "a long, b long")
+    return sent.mapInArrow(trimmed(run), "a long, b long")
 
 
 def _spanning(sets: list[np.ndarray], ids: list[int], side: list[int], num: int, den: int) -> list[tuple[int, int]]:
@@ -362,7 +362,7 @@ def _families(rows: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
                 side.append(block[r].as_py())
         yield from done()
 
-    return materialize(sent.mapInArrow(run, "a long, b long"), "links")
+    return materialize(sent.mapInArrow(trimmed(run), "a long, b long"), "links")
 
 
 def link(df: DataFrame, doc: str = "doc_id", text: str = "text", k: int = 4, num: int = 85, den: int = 100, share: float | None = None, unique: bool | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import re
 from collections import defaultdict
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.llm import bpe, jaccard, lines, lm, mixing, passages, pii, quality, substrings, topk
+from siltstone.llm.common import WordHash, trimmed, word_hashes
 from siltstone.llm.components import components
 from siltstone.llm.oracles import SQL
 from siltstone.llm.queries import QUERIES
@@ -565,6 +567,17 @@ def test_bpe_against_library(spark, sf_dir, awkward, empty):
     assert bpe.encode(empty, path, pattern).isEmpty()
 
 
+def test_workers_remember_little():
+    """What a worker remembers is bounded, as tasks share an executor's memory; forgetting changes nothing."""
+    packed = bpe.Packed(SimpleNamespace(encode_piece=lambda piece: [len(piece), piece[-1]]))
+    want = {p: np.array([len(p), ord(p[-1])], "<u4").tobytes() for p in (f"p{i}" for i in range(450_000))}
+    assert all(packed[p] == x for p, x in want.items()) and len(packed) + len(packed.old) <= 400_000
+    assert packed["p0"] == want["p0"] and packed["p449999"] == want["p449999"]
+    words, seen = [b"w%d" % i for i in range(300_000)], WordHash()
+    assert (word_hashes(words, seen) == word_hashes(words[::-1], WordHash())[::-1]).all() and len(seen) <= 250_000
+    assert list(trimmed(iter)([1, 2])) == [1, 2]
+
+
 def test_perfect_hash():
     keys = [f"k{i}".encode() for i in range(3000)]
     h = bpe.PerfectHash(keys, list(range(3000)))
