@@ -215,6 +215,25 @@ def test_vector_queries_cover_the_table(spark, sf_dir):
     assert set(recall) == {i for i in ids.tolist() if i % 20 == 0} and np.mean(list(recall.values())) >= 0.9
 
 
+def test_levels_in_one_task_and_by_rounds(spark, monkeypatch):
+    """Both ways give the same levels: repeated and null ends, cycles, several starts, a bound on levels; few edges need no table a level."""
+    from siltstone.operators import graph
+
+    rows = [(i, j) for i in range(30) for j in (i + 1, i * 7 % 30, i)] + [(5, 900), (5, 900), (None, 3), (4, None), (1000, 0)]
+    edges = spark.createDataFrame(rows, "src long, dst long")
+    for first, most in (([0], 64), ([0], 2), ([0, 29, 29, 17], 64), ([4000], 64), ([], 64)):
+        start = spark.createDataFrame([(i,) for i in first], "id long")
+        level, front = dict.fromkeys(first, 0), set(first)
+        for nth in range(1, most + 1):
+            front = {b for a, b in rows if a in front and b is not None} - set(level)
+            level |= dict.fromkeys(front, nth)
+        for walked in (0, len(rows) + 4):
+            got = graph.bfs_levels(edges, start, most, walked)
+            assert sorted(map(tuple, got.collect())) == sorted(level.items()) and got.columns == ["id", "level"]
+    monkeypatch.setattr(graph, "written", None)
+    assert graph.bfs_levels(edges, spark.range(1)).count() == 32
+
+
 def test_store_conflicts_and_windows(spark, tmp_path):
     """Two writers of one version, a full window, a writer that fails, and opening what is not there."""
     from siltstone.operators.store import BackPressure, Conflict, Store
