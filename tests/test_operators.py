@@ -215,6 +215,32 @@ def test_vector_queries_cover_the_table(spark, sf_dir):
     assert set(recall) == {i for i in ids.tolist() if i % 20 == 0} and np.mean(list(recall.values())) >= 0.9
 
 
+def test_nearest_in_single_precision():
+    """Neighbours are exact, ties too, by products in single precision, or in double where single tells too little."""
+    from siltstone.operators.knn import _Nearest
+
+    r = np.random.default_rng(1)
+    ids, x = r.permutation(3000), r.normal(size=(3000, 16)).astype(np.float32).astype(np.float64)
+    ids[2990:] = ids[:10]
+    coarse = np.round(x * 2) / 2
+    coarse[100:400] = coarse[:300]
+    for rows, short in ((x, True), (coarse, True), (x + 1e5, False), (x * 3e16, False), (x * 1e100, False), (x * 1e-25, False), (x * 0, False)):
+        for k, skip in ((4, True), (40, False)):
+            found = _Nearest(ids[:300], rows[:300], k, skip)
+            for a, b in ((0, 3), (3, 1500), (1500, 3000)):
+                found.add(ids[a:b], rows[a:b])
+            found.merge()
+            row, ident, dist = found.held
+            for i in range(300):
+                d = np.zeros(3000)
+                for c in rows.T:
+                    d += (c[i] - c) ** 2
+                other = ids != ids[i] if skip else np.ones(3000, bool)
+                best = np.lexsort((ids[other], d[other]))[:k]
+                assert ident[row == i].tolist() == ids[other][best].tolist() and dist[row == i].tolist() == d[other][best].tolist()
+            assert (found.short is not None) == short
+
+
 def test_levels_in_one_task_and_by_rounds(spark, monkeypatch):
     """Both ways give the same levels: repeated and null ends, cycles, several starts, a bound on levels; few edges need no table a level."""
     from siltstone.operators import graph
