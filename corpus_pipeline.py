@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.bpe import encode, tokenizer_files
-from siltstone.llm.common import fresh, materialize, table
+from siltstone.llm.common import fresh, materialize, small_batches, table
 from siltstone.llm.jaccard import link
 from siltstone.llm.lines import dedup_lines
 from siltstone.llm.mixing import mix
@@ -45,7 +45,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         named = docs.withColumn(row, F.col("doc_id"))
     else:
         named = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "named")
-    linked = link(named, doc=row, k=5, num=80, den=100, unique=True).select(F.col("doc_id").alias("at"), F.col("component_id").alias("of"))
+    with small_batches(spark):
+        linked = link(named, doc=row, k=5, num=80, den=100, unique=True).select(F.col("doc_id").alias("at"), F.col("component_id").alias("of"))
     if unique:
         others = linked.filter("at <> of").select(F.col("at").alias(other))
     else:
@@ -64,7 +65,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_tokens, ids): the texts as packed token ids."""
-    return encode(docs, *tokenizer_files()).select("doc_id", "lang", "source", "n_tokens", "ids")
+    with small_batches(spark):
+        return materialize(encode(docs, *tokenizer_files(), keep=["doc_id", "lang", "source"], decoded=False), "tokens")
 
 
 STAGES = [

@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from siltstone.llm.common import bounded_batches, table, trimmed
+from siltstone.llm.common import bounded_batches, fresh, table, trimmed
 
-#: Pre-tokens whose ids a worker remembers, in two generations of this many (some 70 MB both).
-REMEMBERED = 200_000
+#: Pre-tokens whose ids a worker remembers, in two generations of this many (some 60 MB both); bytes of text that are encoded at once.
+REMEMBERED, SLICE = 200_000, 2 << 20
 
 
 class PerfectHash:
@@ -85,12 +85,12 @@ class Vocabulary:
         self.tokens = {r: t for t, r in ranks.items()}
         self.whole = PerfectHash(list(ranks), list(ranks.values()))
         self.byte = [ranks[bytes([i])] for i in range(256)]
-        self.pairs: dict[tuple[int, int], int] = {}
+        self.pairs: dict[int, int] = {}  # by first << 32 | second: numbers are half as large as tuples of them
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
                 a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if a is not None and b is not None:
-                    self.pairs[a, b] = rank
+                    self.pairs[a << 32 | b] = rank
 
     def encode_piece(self, piece: bytes) -> list[int]:
         rank = self.whole.get(piece)
@@ -101,20 +101,20 @@ class Vocabulary:
         ids, pairs = [self.byte[x] for x in piece], self.pairs
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i) for i in range(n - 1) if (r := pairs.get((ids[i], ids[i + 1]))) is not None]
+        heap = [(r, i) for i in range(n - 1) if (r := pairs.get(ids[i] << 32 | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
             rank, i = heapq.heappop(heap)
             j = after[i]
-            if ids[i] < 0 or j >= n or pairs.get((ids[i], ids[j])) != rank:
+            if ids[i] < 0 or j >= n or pairs.get(ids[i] << 32 | ids[j]) != rank:
                 continue
             ids[i], ids[j] = rank, -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (r := pairs.get((rank, ids[k]))) is not None:
+                if (r := pairs.get(rank << 32 | ids[k])) is not None:
                     heapq.heappush(heap, (r, i))
-            if (p := before[i]) >= 0 and (r := pairs.get((ids[p], rank))) is not None:
+            if (p := before[i]) >= 0 and (r := pairs.get(ids[p] << 32 | rank)) is not None:
                 heapq.heappush(heap, (r, p))
         return [x for x in ids if x >= 0]
 
@@ -143,34 +143,36 @@ def read_vocabulary(path: str) -> Vocabulary:
         return Vocabulary(f.read())
 
 
-def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text") -> DataFrame:
-    """Adds ``n_tokens`` long, ``ids`` (little-endian uint32, packed) and ``decoded`` (their bytes).
+def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", keep: list[str] | None = None, decoded: bool = True) -> DataFrame:
+    """Adds ``n_tokens`` long, ``ids`` (little-endian uint32, packed) and, if wanted, ``decoded`` (their bytes).
 
-    The driver reads the rank file and broadcasts the vocabulary, whose size does
-    not depend on the data. One pass over the rows, without a shuffle.
+    ``keep`` are the columns that go on, all of them if it is None. The driver reads
+    the rank file and broadcasts the vocabulary, whose size does not depend on the
+    data. One pass over the rows, without a shuffle.
     """
     spark = df.sparkSession
     vocabulary = spark.sparkContext.broadcast(read_vocabulary(rank_file))
-    names = [c for c in df.columns if c not in ("n_tokens", "ids", "decoded")]
-    df = df.select(*names)
-    schema = StructType([*df.schema.fields]).add("n_tokens", "long").add("ids", "binary").add("decoded", "binary")
+    names = [c for c in (df.columns if keep is None else keep) if c not in ("n_tokens", "ids", "decoded")]
+    schema = StructType([*df.select(*names).schema.fields]).add("n_tokens", "long").add("ids", "binary")
+    schema = schema.add("decoded", "binary") if decoded else schema
+    (sent,) = [text] if text in names else fresh(df, "_text")
+    df = df.select(*names, *([] if text in names else [F.col(text).alias(sent)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        own = vocabulary.value
-        find, packed, token = regex.compile(pattern).findall, Packed(own), own.tokens.__getitem__
-        for batch in bounded_batches(batches, text, 8 << 20):
-            counts, ids, decoded = [], [], []
-            for x in batch.column(batch.schema.get_field_index(text)):
+        known = vocabulary.value
+        find, packed, token = regex.compile(pattern).findall, Packed(known), known.tokens.__getitem__
+        for batch in bounded_batches(batches, sent, SLICE):
+            counts, ids, back = [], [], []
+            for x in batch.column(batch.schema.get_field_index(sent)):
                 got = b"".join(map(packed.__getitem__, find(x.as_py() or "")))
                 ids.append(got)
                 counts.append(len(got) // 4)
-                decoded.append(b"".join(map(token, np.frombuffer(got, "<u4").tolist())))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(counts, pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())],
-                names=[*batch.schema.names, "n_tokens", "ids", "decoded"],
-            )
+                if decoded:
+                    back.append(b"".join(map(token, np.frombuffer(got, "<u4").tolist())))
+            own = [*batch.columns[: len(names)], pa.array(counts, pa.int64()), pa.array(ids, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(back, pa.binary())] if decoded else own, names=schema.names)
 
     return df.mapInArrow(trimmed(run), schema)
 
@@ -199,6 +201,6 @@ def tokenizer_files() -> tuple[str, str]:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank_file, pattern = tokenizer_files()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return encode(docs, rank_file, pattern).select(
+    return encode(docs, rank_file, pattern, keep=["doc_id"]).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )

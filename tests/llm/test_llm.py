@@ -7,11 +7,12 @@ from types import SimpleNamespace
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from siltstone.llm import bpe, jaccard, lines, lm, mixing, passages, pii, quality, substrings, topk
-from siltstone.llm.common import WordHash, trimmed, word_hashes
+from siltstone.llm.common import WordHash, small_batches, trimmed, word_hashes
 from siltstone.llm.components import components
 from siltstone.llm.oracles import SQL
 from siltstone.llm.queries import QUERIES
@@ -578,6 +579,29 @@ def test_workers_remember_little():
     assert list(trimmed(iter)([1, 2])) == [1, 2]
 
 
+def test_bpe_returns_only_what_is_kept(spark, awkward):
+    """Texts and decoded bytes that nobody asks for do not come back from the workers; the ids are the same."""
+    files = bpe.tokenizer_files()
+    slim = bpe.encode(awkward, *files, keep=["doc_id"], decoded=False)
+    assert slim.columns == ["doc_id", "n_tokens", "ids"]
+    want = bpe.encode(awkward, *files)
+    assert want.columns == [*awkward.columns, "n_tokens", "ids", "decoded"]
+    rows = lambda df: sorted(map(repr, df.select("doc_id", "n_tokens", "ids").collect()))
+    assert rows(slim) == rows(want)
+
+
+def test_small_batches(spark):
+    """Workers get few rows at once in what runs meanwhile; the session's setting is as before then, after a failure too."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, df = spark.conf.get(name), spark.range(0, 5000, 1, 1)
+    most = lambda: df.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [len(b)]}) for b in batches), "n long").agg(F.max("n")).first()[0]
+    with small_batches(spark):
+        assert most() == 2000
+    with pytest.raises(ZeroDivisionError), small_batches(spark, 10):
+        assert 1 // 0
+    assert spark.conf.get(name) == before and most() == 5000
+
+
 def test_perfect_hash():
     keys = [f"k{i}".encode() for i in range(3000)]
     h = bpe.PerfectHash(keys, list(range(3000)))
