@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegralType
+from pyspark.sql.types import IntegralType, StructType
 
 from siltstone.functions.vectors import chunks, minus, squared_l2
 from siltstone.operators import tiles
@@ -27,9 +30,53 @@ def fixed_codebook(parts: DataFrame, codes: int) -> DataFrame:
 def encode(parts: DataFrame, codebook: DataFrame) -> DataFrame:
     """(id, chunk, code): the nearest centroid of each chunk, lowest code on a tie.
 
-    A codebook has chunks times 256 rows at most, so it is broadcast; the nearest
-    is taken inside the row, without a shuffle.
+    A codebook has chunks times 256 rows at most, so each task holds it; distances
+    are summed in component order, many vectors at once. A distance that is null, as
+    of chunks of another width or with nulls, is the least, and NaN the greatest.
     """
+    rows = codebook.select("chunk", "code", "w").collect()  # 256 a chunk at most
+    fit = all(isinstance(t, IntegralType) for t in (parts.schema["chunk"].dataType, codebook.schema["code"].dataType))
+    if not fit or not all(r.chunk is not None and r.code is not None and r.w and None not in r.w for r in rows):
+        return _encode_plainly(parts, codebook)
+    books = {}
+    for c in sorted({r.chunk for r in rows}):
+        own = sorted((r for r in rows if r.chunk == c), key=lambda r: r.code)
+        if len({len(r.w) for r in own}) > 1:
+            return _encode_plainly(parts, codebook)
+        books[c] = np.array([r.code for r in own]), np.array([r.w for r in own], np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chunk, given = batch.column(1).fill_null(0).to_numpy(), batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+            x = batch.column(2)
+            size = x.value_lengths().fill_null(-1).to_numpy()
+            if x.values.null_count:  # a chunk with a null has no distances
+                size = np.where([v.is_valid and v.values.null_count > 0 for v in x], -1, size)
+            first, flat = x.offsets.to_numpy()[:-1].astype(np.int64), x.values.to_numpy(zero_copy_only=False)
+            code, known = np.zeros(len(chunk), np.int64), np.zeros(len(chunk), bool)
+            for c in np.unique(chunk).tolist():
+                if c not in books:
+                    continue
+                codes, w = books[c]
+                mine = (chunk == c) & given
+                known |= mine
+                code[mine] = codes[0]
+                at = np.flatnonzero(mine & (size == w.shape[1]))
+                d = np.zeros((len(at), len(w)))
+                for j, own in enumerate(w.T):
+                    d += (flat[first[at] + j].astype(np.float64)[:, None] - own) ** 2
+                least = np.fmin.reduce(d, axis=1)
+                code[at] = codes[((d == least[:, None]) | np.isnan(least)[:, None]).argmax(1)]
+            known = pa.array(known)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(known), batch.column(1).filter(known), pa.array(code).filter(known).cast(kind)], names=["id", "chunk", "code"])
+
+    schema = StructType([parts.schema["id"], parts.schema["chunk"], codebook.schema["code"]])
+    kind = {"tinyint": "int8", "smallint": "int16", "int": "int32", "bigint": "int64"}[codebook.schema["code"].dataType.simpleString()]
+    return parts.select("id", "chunk", "x").mapInArrow(run, schema)
+
+
+def _encode_plainly(parts: DataFrame, codebook: DataFrame) -> DataFrame:
+    """``encode`` for codebooks of any shape, by expressions inside the row."""
     book = codebook.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("code", "w"))).alias("book"))
     near = F.array_min(F.transform("book", lambda b: F.struct(squared_l2("x", b["w"]).alias("d"), b["code"].alias("code"))))
     return parts.join(F.broadcast(book), "chunk").select("id", "chunk", near["code"].alias("code"))
@@ -99,7 +146,7 @@ class _Lookups(tiles.Best):
             new = np.flatnonzero(np.isinf(self.far))
             if len(new) and near.shape[1] > self.k:
                 most[new] = self.upto(np.partition(near[new], self.k - 1, axis=1)[:, self.k - 1] + self.slack[new]) + self.slack[new]
-            row, col = np.nonzero(near <= most[:, None])
+            row, col = np.divmod(tiles.places(near <= most[:, None]), near.shape[1])
             dist = np.zeros(len(row))
             for slot in part.T:
                 dist += self.table[row, slot[col]]

@@ -215,6 +215,30 @@ def test_vector_queries_cover_the_table(spark, sf_dir):
     assert set(recall) == {i for i in ids.tolist() if i % 20 == 0} and np.mean(list(recall.values())) >= 0.9
 
 
+def test_places_of_few_true_entries():
+    """As numpy finds them, whether or not the entries come in eights."""
+    r = np.random.default_rng(5)
+    for shape in ((3, 7), (5, 16), (1, 8), (4, 2), (6, 24)):
+        for share in (0.0, 0.1, 1.0):
+            held = r.random(shape) < share
+            assert tiles.places(held).tolist() == np.flatnonzero(held).tolist()
+
+
+def test_codes_of_many_vectors_at_once(spark):
+    """Vectorized codes are those of the expressions: ties, nulls, other widths, NaN and chunks without a book."""
+    inf, nan = float("inf"), float("nan")
+    xs = [[0.0, 0.0], [1.0, 1.0], [0.5, 0.5], [3.0, -1.0], [nan, 0.0], [inf, 0.0], [-inf, inf], [None, 1.0], [1.0], [1.0, 2.0, 3.0], [], None]
+    parts = spark.createDataFrame([(i, c, x) for i, x in enumerate(xs) for c in (0, 1, 2)], "id long, chunk int, x array<double>")
+    book = [(0, 3, [1.0, 1.0]), (0, 1, [0.0, 0.0]), (0, 2, [0.0, 0.0]), (1, 0, [nan, 1.0]), (1, 5, [inf, 2.0]), (1, 4, [9.0, 9.0])]
+    book = spark.createDataFrame(book, "chunk int, code int, w array<double>")
+    got = pq.encode(parts, book)
+    want = pq._encode_plainly(parts, book)
+    assert "MapInArrow" in got._jdf.queryExecution().toString() and got.dtypes == want.dtypes
+    assert rows(got, "id", "chunk", "code") == rows(want, "id", "chunk", "code") and got.count() == 24
+    odd = book.unionByName(spark.createDataFrame([(1, 6, [1.0])], book.schema))
+    assert rows(pq.encode(parts, odd), "id", "chunk", "code") == rows(pq._encode_plainly(parts, odd), "id", "chunk", "code")
+
+
 def test_nearest_in_single_precision():
     """Neighbours are exact, ties too, by products in single precision, or in double where single tells too little."""
     from siltstone.operators.knn import _Nearest
