@@ -224,6 +224,14 @@ def test_places_of_few_true_entries():
             assert tiles.places(held).tolist() == np.flatnonzero(held).tolist()
 
 
+def test_rows_are_sent_to_few_blocks():
+    """A row travels once for each block of queries, and there are cells enough for all cores."""
+    for n in (1, 5_130, 102_564, 1_000_000):
+        blocks, parts = tiles.layout(n, 8)
+        assert blocks * parts >= 16 and n <= blocks * tiles.BLOCK
+    assert tiles.layout(102_564, 8)[0] <= 8
+
+
 def test_codes_of_many_vectors_at_once(spark):
     """Vectorized codes are those of the expressions: ties, nulls, other widths, NaN and chunks without a book."""
     inf, nan = float("inf"), float("nan")
